@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, crf, nndescent, quality
 from . import simhash as sim
 from .bpe import bpe_decode, bpe_encode, read_vocab, token_counts
 from .brown import score_texts
+from .decontaminate import contaminated
 from .repeats import remove_repeats
 
 VOCAB = "byte_bpe_50k.json"
@@ -31,6 +32,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = crf.identify(docs, crf.fit(docs, F.col("doc_id").isNotNull() & ~out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     return score_texts(table(spark, sf_dir, "documents"), held_out)
@@ -63,8 +79,13 @@ def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.select("conv_id", "part", "speaker", "n_messages", "rendered", mask.alias("mask"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op5_brown_lm": op5_brown_lm, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_token_counts": op7_token_counts, "op8_bpe": op8_bpe, "op9_chat_perspectives": op9_chat_perspectives}
+    found = [op1_substring_dedup, op2_embedding_near_dedup, op3_decontamination, op4_language_id, op5_brown_lm, op6_simhash_near_dedup, op7_token_counts, op8_bpe, op9_chat_perspectives, op10_quality_classifier]
+    return {q.__name__: q for q in found}
 
 
 def llm_oracle_sql() -> dict[str, str]:
