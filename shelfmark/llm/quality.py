@@ -105,13 +105,17 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 8, purity: f
     """The insults above, with the words and word beginnings that at least ``least`` labelled texts hold, nearly all of them toxic."""
     if not texts or not toxic.any():
         return insults()
-    key, doc = toxic_keys(pa.array(texts, pa.string()))
-    by = np.lexsort((doc, key))
-    key, doc = key[by], doc[by]
-    new = np.r_[True, (np.diff(key) != 0) | (np.diff(doc) != 0)]
-    key, doc = key[new], doc[new]
+    keys, flags = [], []
+    for begin in range(0, len(texts), 500):  # in slices, so that memory holds one key a text and word
+        key, doc = toxic_keys(pa.array(texts[begin : begin + 500], pa.string()))
+        by = np.lexsort((doc, key))
+        key, doc = key[by], doc[by]
+        new = np.r_[True, (np.diff(key) != 0) | (np.diff(doc) != 0)][: len(key)]
+        keys.append(key[new])
+        flags.append(toxic[begin + doc[new]])
+    key, flag = np.concatenate(keys), np.concatenate(flags)
     uniq, at = np.unique(key, return_inverse=True)
-    n, bad = np.bincount(at), np.bincount(at, toxic[doc].astype(float))
+    n, bad = np.bincount(at), np.bincount(at, flag)
     return np.unique(np.r_[insults(), uniq[(n >= least) & (bad >= purity * n)]])
 
 
