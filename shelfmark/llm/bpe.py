@@ -37,7 +37,7 @@ NOT_LATIN = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
 CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 MAX_VOCAB_BYTES = 64_000_000
 #: Pieces a worker keeps; the table starts anew beyond it (results do not depend on it).
-TABLE_PIECES = 600_000
+TABLE_PIECES = 200_000
 NEVER = 1 << 40
 
 
@@ -199,6 +199,14 @@ class Vocab:
         return count[1:]
 
 
+@lru_cache(maxsize=1)
+def _spellings(text: str) -> list[bytes]:
+    """The bytes of each id: all that decoding needs of a vocabulary."""
+    spec, letters = json.loads(text), _byte_letters()
+    of = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"].encode() for a in spec.get("added_tokens", [])}
+    return [of.get(i, b"") for i in range(max(of) + 1)]
+
+
 @lru_cache(maxsize=2)
 def _vocab(text: str) -> Vocab:
     return Vocab(text)
@@ -399,8 +407,7 @@ def bpe_decode(encoded: DataFrame, vocab_json: str, ids_col: str = "ids", out_co
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields), f"`{out_col}` string"])
 
     def run(batches):
-        vocab = _vocab(shared.value)
-        names = [vocab.bytes_of.get(i, b"") for i in range(vocab.size)]
+        names = _spellings(shared.value)
         for batch in batches:
             texts = [b"".join([names[i] for i in ids]).decode("utf-8", "replace") if ids else "" for ids in (x.as_py() for x in batch.column(ids_col))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
