@@ -1,8 +1,8 @@
 """Byte-level BPE: encoding by batched numpy merge rounds, decoding, and token counts of every prefix.
 
 The vocabulary comes from a public ``tokenizers`` JSON file whose path is a parameter; the
-driver reads it (a few MB, the size is checked) and broadcasts its text, so executors need
-no file of their own. A text is cut at the special strings, then by the tokenizer's pattern
+driver reads it (a few MB, the size is checked) and broadcasts it (encoding and decoding need a few
+flat arrays only, prefix counts its text), so executors need no file of their own. A text is cut at the special strings, then by the tokenizer's pattern
 into *pieces*; a piece's tokens do not depend on its surroundings, so each worker keeps a
 table of the pieces it has met and works only on new ones.
 
@@ -22,6 +22,7 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _LETTERS, _SPACES = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "\t\n\x0b\x0c\r "
 LATIN_PATTERN = rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{_SPACES}{_LETTERS}0-9]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 NOT_LATIN = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+ANY_TEXT, LATIN_TEXT = regex.compile(PATTERN), re.compile(LATIN_PATTERN)
 CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 MAX_VOCAB_BYTES = 64_000_000
+#: Bytes of text a worker turns into pieces at a time: pieces take some thirty times the memory of their text.
+TEXT_BYTES = 1_500_000
 #: Pieces a worker keeps; the table starts anew beyond it (results do not depend on it).
 TABLE_PIECES = 200_000
 NEVER = 1 << 40
@@ -57,54 +61,51 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Vocab:
-    """Symbols, merges and special strings of one vocabulary."""
+class Coder:
+    """All that encoding and decoding need of a vocabulary, as flat arrays: light enough to broadcast."""
 
-    def __init__(self, text: str):
-        spec = json.loads(text)
+    def __init__(self, spec: dict):
         letters = _byte_letters()
-        model = spec["model"]
-        self.id_of = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items()}
+        of = spec["model"]["vocab"]
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
-        self.bytes_of: dict[int, bytes] = {i: t for t, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.size = max(self.bytes_of) + 1
-        self.longest = max(map(len, self.id_of))
-        of = model["vocab"]
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.merge = {(of[a], of[b]): (rank, of[a + b]) for rank, (a, b) in enumerate(pairs)}
-        keys = np.array([a * self.size + b for a, b in self.merge], np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.ranks = np.array([r for r, _ in self.merge.values()], np.int64)[order]
-        self.made = np.array([m for _, m in self.merge.values()], np.int64)[order]
-        self.parts = {}
-        for (a, b), (rank, m) in self.merge.items():
-            self.parts.setdefault(m, (a, b, rank))
-        self.byte_id = np.array([self.id_of[bytes([b])] for b in range(256)], np.int64)
-        self.pattern = regex.compile(PATTERN)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.latin = re.compile(LATIN_PATTERN)
-        self.spines: tuple[dict, dict] = ({}, {})
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.lately: tuple[bytes, list[int], list[int]] = (b"", [-1], [0])
-        # Only tokens that their own bytes encode to can end a prefix.
-        tokens = list(self.id_of)
-        ids, n = self.encode_bytes(tokens)
-        self.ending = {t: self.id_of[t] for t, i, k in zip(tokens, ids[np.cumsum(n) - n].tolist(), n.tolist(), strict=True) if k == 1 and i == self.id_of[t]}
+        spelled = {i: bytes(letters[c] for c in t) for t, i in of.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.size = max(spelled) + 1
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+        keys = np.array([of[a] * self.size + of[b] for a, b in merges], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order
+        self.made = np.array([of[a + b] for a, b in merges], np.int64)[order]
+        self.byte_id = np.zeros(256, np.int64)
+        for letter, byte in letters.items():
+            self.byte_id[byte] = of[letter]
+        # Spelling of id i: spell[spell_at[i]:spell_at[i + 1]]; the one after the last is empty.
+        names = [spelled.get(i, b"") for i in range(self.size + 1)]
+        self.spell = np.frombuffer(b"".join(names), np.uint8)
+        self.spell_at = np.r_[0, np.cumsum([len(n) for n in names])]
+        self.table: _Encoded | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def known(self) -> _Encoded:
+        """The worker's table of pieces, kept while the worker is reused."""
+        self.table = self.table or _Encoded(self)
+        return self.table
 
     # -- pieces ------------------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
         """The text's pieces in order; a special string is one piece."""
-        if self.cut is None or not any(s in text for s in self.special):
+        if not any(s in text for s in self.special):
             return self.split(text)
         out: list[str] = []
-        for part in self.cut.split(text):
+        cut = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
+        for part in re.split(f"({cut})", text):
             out += [part] if part in self.special else self.split(part)
         return out
 
     def split(self, text: str) -> list[str]:
         """Pieces of a text in which special strings count as ordinary."""
-        return (self.pattern if NOT_LATIN.search(text) else self.latin).findall(text)
+        return (ANY_TEXT if NOT_LATIN.search(text) else LATIN_TEXT).findall(text)
 
     # -- encoding ----------------------------------------------------------------
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +150,40 @@ class Vocab:
             out += [self.special[p]] if p in self.special else self.encode_pieces([p])[0].tolist()
         return out
 
-    def decode(self, ids) -> str:
-        return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
+    # -- decoding ----------------------------------------------------------------
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The text of each run ids[bounds[i]:bounds[i + 1]]; ids that the vocabulary lacks spell nothing."""
+        ids = np.where((ids < 0) | (ids >= self.size), self.size, ids)
+        sizes = self.spell_at[ids + 1] - self.spell_at[ids]
+        ends = np.r_[0, np.cumsum(sizes)]
+        data = self.spell[np.repeat(self.spell_at[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        edge = ends[bounds].tolist()
+        return [data[b:e].decode("utf-8", "replace") for b, e in zip(edge, edge[1:])]
+
+
+class Vocab(Coder):
+    """A coder with what the prefix dynamic programme needs besides."""
+
+    def __init__(self, text: str):
+        spec = json.loads(text)
+        super().__init__(spec)
+        letters, of = _byte_letters(), spec["model"]["vocab"]
+        id_of = {bytes(letters[c] for c in t): i for t, i in of.items()}
+        self.longest = max(map(len, id_of))
+        self.merge = {}
+        self.parts = {}
+        for key, rank, m in zip(self.keys.tolist(), self.ranks.tolist(), self.made.tolist(), strict=True):
+            a, b = divmod(key, self.size)
+            self.merge[a, b] = rank
+            if m not in self.parts or rank < self.parts[m][2]:
+                self.parts[m] = a, b, rank
+        self.spines: tuple[dict, dict] = ({}, {})
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.lately: tuple[bytes, list[int], list[int]] = (b"", [-1], [0])
+        # Only tokens that their own bytes encode to can end a prefix.
+        tokens = list(id_of)
+        ids, n = self.encode_bytes(tokens)
+        self.ending = {t: id_of[t] for t, i, k in zip(tokens, ids[np.cumsum(n) - n].tolist(), n.tolist(), strict=True) if k == 1 and i == id_of[t]}
 
     # -- prefix dynamic programme --------------------------------------------------
     def _spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
@@ -170,7 +203,7 @@ class Vocab:
         apart = True
         for x, x_made, x_gone in self._spine(left, 1):
             for y, y_made, y_gone in self._spine(right, 0):
-                rank = self.merge.get((x, y), (NEVER, 0))[0]
+                rank = self.merge.get((x, y), NEVER)
                 if x_made < rank < x_gone and y_made < rank <= y_gone and rank < NEVER:
                     apart = False
         if len(self.fits) > 1_000_000:
@@ -199,12 +232,9 @@ class Vocab:
         return count[1:]
 
 
-@lru_cache(maxsize=1)
-def _spellings(text: str) -> list[bytes]:
-    """The bytes of each id: all that decoding needs of a vocabulary."""
-    spec, letters = json.loads(text), _byte_letters()
-    of = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"].encode() for a in spec.get("added_tokens", [])}
-    return [of.get(i, b"") for i in range(max(of) + 1)]
+@lru_cache(maxsize=2)
+def _coder(text: str) -> Coder:
+    return Coder(json.loads(text))
 
 
 @lru_cache(maxsize=2)
@@ -212,16 +242,10 @@ def _vocab(text: str) -> Vocab:
     return Vocab(text)
 
 
-@lru_cache(maxsize=2)
-def _table(kind: type, text: str):
-    """One table a worker, kept while the worker is reused."""
-    return kind(_vocab(text))
-
-
 class _Encoded:
     """A worker's table of pieces: ids of each, back to back."""
 
-    def __init__(self, vocab: Vocab):
+    def __init__(self, vocab: Coder):
         self.vocab = vocab
         self.clear()
 
@@ -310,7 +334,7 @@ def _texts(table: pa.Table, text: str) -> list[str]:
     return [t or "" for t in table.column(text).to_pylist()]
 
 
-def _all_pieces(vocab: Vocab, texts: list[str]) -> tuple[list[str], np.ndarray]:
+def _all_pieces(vocab: Coder, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """The pieces of all texts, and where those of each begin."""
     out: list[str] = []
     first = [0]
@@ -327,7 +351,7 @@ def token_prefixes(docs: DataFrame, vocab_json: str, id_col: str = "doc_id", tex
 
     def run(batches):
         vocab = _vocab(shared.value)
-        for table in blocks(batches, "_text"):
+        for table in blocks(batches, "_text", TEXT_BYTES):
             counts = [text_prefix_counts(vocab, t).astype(np.int32) for t in _texts(table, "_text")]
             yield pa.RecordBatch.from_arrays([ids_out(longs(table.column("_id"), NULL_ID)), pa.array(counts, pa.list_(pa.int32()))], ["_id", "prefix_tokens"])
 
@@ -346,8 +370,8 @@ def token_counts(docs: DataFrame, vocab_json: str, limit: int = 512, id_col: str
 
     def run(batches):
         vocab = _vocab(shared.value)
-        known = _table(_Prefixed, shared.value)
-        for table in blocks(batches, "_text"):
+        vocab.table = known = vocab.table or _Prefixed(vocab)
+        for table in blocks(batches, "_text", TEXT_BYTES):
             texts = _texts(table, "_text")
             out = np.zeros((len(texts), 3), np.int64)
             pieces, first = _all_pieces(vocab, texts)
@@ -364,7 +388,7 @@ def token_counts(docs: DataFrame, vocab_json: str, limit: int = 512, id_col: str
 def _cut(vocab: Vocab, known: _Prefixed, text: str, pieces: list[str], row: np.ndarray, limit: int) -> int:
     """The longest prefix within the limit. No prefix that reaches into a piece which begins at the limit
     fits, save for one that ends in a run of white space, so only the last pieces below it are looked at."""
-    if vocab.cut is not None and any(p in vocab.special for p in pieces):
+    if any(p in vocab.special for p in pieces):
         fit = np.flatnonzero(text_prefix_counts(vocab, text) <= limit)
         return int(fit[-1]) + 1 if len(fit) else 0
     base = np.cumsum(known.total[row]) - known.total[row]
@@ -378,38 +402,56 @@ def _cut(vocab: Vocab, known: _Prefixed, text: str, pieces: list[str], row: np.n
     return 0
 
 
-def bpe_encode(docs: DataFrame, vocab_json: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, the columns of ``keep``, and ``ids`` array<int> of the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab_json)
+def _ids(coder: Coder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, back to back, and where those of each begin."""
+    known = coder.known()
+    pieces, first = _all_pieces(coder, texts)
+    row = known.rows(pieces)
+    size = known.n[row]
+    ends = np.r_[0, np.cumsum(size)]
+    return known.ids[np.repeat(known.begin[row] - ends[:-1], size) + np.arange(ends[-1])], ends[first]
+
+
+def _coded(docs: DataFrame, vocab_json: str, id_col: str, text_col: str, keep: tuple[str, ...], decode: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(_coder(vocab_json))
     inner = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    schema = ", ".join(["_id long", *(f"`_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>"])
+    schema = ", ".join(["_id long", *(f"`_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>", *["decoded string"] * decode])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        vocab = _vocab(shared.value)
-        known = _table(_Encoded, shared.value)
-        for table in blocks(batches, "_text"):
-            pieces, first = _all_pieces(vocab, _texts(table, "_text"))
-            row = known.rows(pieces)
-            size = known.n[row]
-            ends = np.r_[0, np.cumsum(size)]
-            flat = known.ids[np.repeat(known.begin[row] - ends[:-1], size) + np.arange(ends[-1])]
-            ids = pa.ListArray.from_arrays(pa.array(ends[first].astype(np.int32)), pa.array(flat))
-            kept = [table.column(f"_keep_{c}").combine_chunks() for c in keep]
-            yield from pa.Table.from_arrays([ids_out(longs(table.column("_id"), NULL_ID)), *kept, ids], ["_id", *(f"_keep_{c}" for c in keep), "ids"]).to_batches()
+        coder = shared.value
+        for table in blocks(batches, "_text", TEXT_BYTES):
+            flat, bounds = _ids(coder, _texts(table, "_text"))
+            kept = {f"_keep_{c}": table.column(f"_keep_{c}").combine_chunks() for c in keep}
+            out = {"_id": ids_out(longs(table.column("_id"), NULL_ID)), **kept, "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))}
+            if decode:
+                out["decoded"] = pa.array(coder.decode(flat, bounds), pa.string())
+            yield from pa.table(out).to_batches()
 
     out = inner.mapInArrow(run, schema)
-    return out.select(F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), "ids")
+    return out.select(F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), "ids", *["decoded"] * decode)
+
+
+def bpe_encode(docs: DataFrame, vocab_json: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, the columns of ``keep``, and ``ids`` array<int> of the whole text."""
+    return _coded(docs, vocab_json, id_col, text_col, keep, decode=False)
+
+
+def bpe_round_trip(docs: DataFrame, vocab_json: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``bpe_encode`` with ``decoded``, the text of the ids, in one pass: the ids do not leave the worker in between."""
+    return _coded(docs, vocab_json, id_col, text_col, keep, decode=True)
 
 
 def bpe_decode(encoded: DataFrame, vocab_json: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encoded`` with ``out_col``, the text of its ids (null ids count as none; invalid UTF-8 is replaced)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocab_json)
+    """``encoded`` with ``out_col``, the text of its ids. A null list counts as empty; ids that are null or
+    that the vocabulary lacks spell nothing; invalid UTF-8 is replaced."""
+    shared = encoded.sparkSession.sparkContext.broadcast(_coder(vocab_json))
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields), f"`{out_col}` string"])
 
     def run(batches):
-        names = _spellings(shared.value)
         for batch in batches:
-            texts = [b"".join([names[i] for i in ids]).decode("utf-8", "replace") if ids else "" for ids in (x.as_py() for x in batch.column(ids_col))]
+            lists = batch.column(ids_col)
+            bounds = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
+            texts = shared.value.decode(longs(lists.flatten(), -1), bounds)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
 
     return encoded.mapInArrow(run, fields)

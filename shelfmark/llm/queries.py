@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, crf, nndescent, quality
 from . import simhash as sim
-from .bpe import bpe_decode, bpe_encode, read_vocab, token_counts
+from .bpe import bpe_round_trip, read_vocab, token_counts
 from .brown import score_texts
 from .decontaminate import contaminated
 from .repeats import remove_repeats
@@ -63,8 +63,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> Data
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = read_vocab(vocab_path())
-    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), vocab), vocab)
+    coded = bpe_round_trip(table(spark, sf_dir, "documents"), read_vocab(vocab_path()))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

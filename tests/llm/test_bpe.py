@@ -39,6 +39,8 @@ def test_counts_cut_and_digests(spark, library):
     got = {(r.doc_id, r.n_bytes): r for r in bpe.token_counts(docs, vocab, 5).collect()}
     back = {r.doc_id: r for r in bpe.bpe_decode(bpe.bpe_encode(docs, vocab), vocab).collect()}
     assert len(back) == len(rows) - 1
+    once = bpe.bpe_round_trip(docs, vocab, keep=("_id",)).collect()
+    assert sorted((r.doc_id or 0, r.ids, r.decoded) for r in once) == sorted((r.doc_id or 0, r.ids, r.decoded) for r in bpe.bpe_decode(bpe.bpe_encode(docs, vocab), vocab).collect())
     for i, t, _ in rows:
         t = t or ""
         ids = library.encode(t, add_special_tokens=False).ids
@@ -59,6 +61,13 @@ def test_prefixes_operator_and_budget(spark):
     assert len(out[1].prefix_tokens) == 13 and out[1].two == 7 and out[2].prefix_tokens == [] and out[2].two == 0
 
 
+def test_decode_of_null_lists_and_unknown_ids(spark):
+    ids = bpe.Vocab(bpe.read_vocab(PATH)).encode("two words")
+    rows = [(1, None), (2, []), (3, [ids[0], None, 999_999, -5, *ids[1:]])]
+    coded = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in bpe.bpe_decode(coded, bpe.read_vocab(PATH)).collect()} == {1: "", 2: "", 3: "two words"}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.token_counts(docs, bpe.read_vocab(PATH)).count() == 0
