@@ -61,8 +61,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text back."""
     ship(spark)
-    vocab = bpe.read_vocab(queries.vocab_path())
-    back = bpe.bpe_decode(bpe.bpe_encode(docs, vocab, keep=("text",)), vocab)
+    back = bpe.bpe_round_trip(docs, bpe.read_vocab(queries.vocab_path()), keep=("text",))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
