@@ -42,6 +42,8 @@ MAX_VOCAB_BYTES = 64_000_000
 TEXT_BYTES = 1_500_000
 #: Pieces a worker keeps; the table starts anew beyond it (results do not depend on it).
 TABLE_PIECES = 200_000
+#: The same for prefix counts, which cost far more to make again.
+PREFIXED_PIECES = 800_000
 NEVER = 1 << 40
 
 
@@ -245,6 +247,8 @@ def _vocab(text: str) -> Vocab:
 class _Encoded:
     """A worker's table of pieces: ids of each, back to back."""
 
+    most = TABLE_PIECES
+
     def __init__(self, vocab: Coder):
         self.vocab = vocab
         self.clear()
@@ -254,7 +258,7 @@ class _Encoded:
         self.ids, self.n, self.begin = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def rows(self, pieces: list[str]) -> np.ndarray:
-        if len(self.row) > TABLE_PIECES:
+        if len(self.row) > self.most:
             self.clear()
         row = np.fromiter(map(self.row.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(row < 0).tolist()
@@ -280,6 +284,8 @@ class _Encoded:
 class _Prefixed(_Encoded):
     """A worker's table of pieces: tokens of each prefix that ends at a character, back to back."""
 
+    most = PREFIXED_PIECES
+
     def clear(self) -> None:
         super().clear()
         self.total = np.zeros(0, np.int64)
