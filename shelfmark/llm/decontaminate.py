@@ -8,8 +8,11 @@ item's number of words has weighted multiset Jaccard similarity >= ``similarity`
 1. Windows can only reach that similarity where the document holds enough of the item's shingle
    weight; this exact bound picks documents, items and the stretch of windows to look at.
 2. Every item-sized window there gets a weighted 64-bit SimHash (running sums over the stretch).
-3. Eight 8-bit blocks index the items' fingerprints. Fingerprints within ``radius`` = 8t + 7 bits agree
+3. Eight 8-bit blocks index the items' fingerprints. Fingerprints within 8t + 7 bits agree
    up to t bits in some block, so looking up each block with its t-bit neighbours finds all of them.
+   An item's radius is ``radius``, or more where its weights ask for it: a window that reaches the similarity
+   differs by at most total * (1 - similarity) / similarity, so only bits whose sum is no larger can turn over,
+   and no such window lies outside. (An item all of whose bits can turn over needs no fingerprints.)
 4. Candidates are verified by the exact similarity; the best window of each item is reported.
 
 The benchmark is collected and broadcast in slices of at most ``slice_items`` items and ``slice_bytes``
@@ -22,7 +25,7 @@ the earliest window; null ids stay null; extra columns are ignored; empty tables
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import reduce
 
 import numpy as np
@@ -54,9 +57,9 @@ def _pack(sums: np.ndarray) -> np.ndarray:
 class Items:
     """The index of one slice of the benchmark."""
 
-    def __init__(self, ids: list, texts: list, radius: int):
+    def __init__(self, ids: list, texts: list, radius: int, similarity: float | None = None):
         w, h = _hashed(pa.array(texts, pa.string()))
-        self.ids, self.radius, self.near = ids, radius, radius // 8
+        self.ids = ids
         self.size = w.counts
         self.shingles: list[np.ndarray] = []
         for d in range(len(texts)):
@@ -71,12 +74,17 @@ class Items:
         self.weight_of = 1.0 / (self.end - self.begin)
         self.total = np.array([self.weights(x).sum() for x in self.shingles])
         self.counts = [Counter(x.tolist()) for x in self.shingles]
-        self.fp = np.array([_pack((_signs(x) * self.weights(x)[:, None]).sum(0)[None])[0] if len(x) else 0 for x in self.shingles], np.uint64)
+        sums = np.array([(_signs(x) * self.weights(x)[:, None]).sum(0) for x in self.shingles]).reshape(-1, 64)
+        self.fp = _pack(sums)
+        self.radius = np.full(len(texts), radius)
+        if similarity is not None:
+            loose = similarity * np.abs(sums) <= (1 - similarity) * self.total[:, None] + 1e-5
+            self.radius = np.maximum(radius, loose.sum(1))
         self.short = sorted({int(n) for n in self.size if 0 < n < SHINGLE})
         # block k, value v -> items whose k-th byte is within ``near`` bits of v, as a bit set
         values = np.arange(256, dtype=np.uint8)
         bytes_of = self.fp.view(np.uint8).reshape(-1, 8)
-        self.index = [np.packbits(np.bitwise_count(values[:, None] ^ bytes_of[None, :, k]) <= self.near, axis=1) for k in range(8)]
+        self.index = [np.packbits(np.bitwise_count(values[:, None] ^ bytes_of[None, :, k]) <= self.radius // 8, axis=1) for k in range(8)]
 
     def find(self, shingles: np.ndarray) -> np.ndarray:
         """The row of each shingle in the index, or -1."""
@@ -95,7 +103,7 @@ class Items:
         met = np.zeros(len(fp), bool)
         for k in range(8):
             met |= (self.index[k][byte[:, k], item >> 3] >> (7 - (item & 7))) & 1 == 1
-        met[met] = np.bitwise_count(fp[met] ^ self.fp[item]) <= self.radius
+        met[met] = np.bitwise_count(fp[met] ^ self.fp[item]) <= self.radius[item]
         return met
 
     def similarity(self, window: np.ndarray, item: int) -> float:
@@ -141,14 +149,23 @@ class Items:
             return
         g = gram[lo : hi + width]
         weight = self.weights(g)
-        sums = np.vstack([np.zeros(64), np.cumsum(_signs(g) * weight[:, None], axis=0, dtype=np.float64)])
-        met = self.candidates(_pack(np.round(sums[width:] - sums[:-width], 6)), j)
-        own = np.zeros(len(g))
-        own[pos - lo if pos[-1] - lo < len(g) else pos[pos - lo < len(g)] - lo] = 1
-        shared, whole = (np.r_[0, np.cumsum(x)] for x in (own * weight, weight))
-        shared, whole = shared[width:] - shared[:-width], whole[width:] - whole[:-width]
+        met = np.ones(len(g) - width + 1, bool)
+        if self.radius[j] < 64:
+            sums = np.vstack([np.zeros(64), np.cumsum(_signs(g) * weight[:, None], axis=0, dtype=np.float64)])
+            met = self.candidates(_pack(np.round(sums[width:] - sums[:-width], 6)), j)
+        # Occurrence p of a shingle that the item holds c times is shared with the windows that start
+        # at or before p and after the c-th occurrence before p.
+        at, turns = np.zeros(len(g) + 1), defaultdict(list)
+        for p in (pos - lo).tolist():
+            if 0 <= p < len(g):
+                before, c = turns[int(g[p])], self.counts[j][int(g[p])]
+                at[max(p - width + 1, before[-c] + 1 if len(before) >= c else 0, 0)] += weight[p]
+                at[p + 1] -= weight[p]
+                before.append(p)
+        shared, whole = np.cumsum(at)[: len(g) - width + 1], np.r_[0, np.cumsum(weight)]
+        whole = whole[width:] - whole[:-width]
         bound = shared / np.maximum(whole + self.total[j] - shared, 1e-12)  # no window is more similar than this
-        bound = np.where(met & (shared > 0), np.minimum(np.where(whole + self.total[j] - shared > 0, bound, 1), 1.0), -1)
+        bound = np.where(met & (shared > 1e-9), np.minimum(np.where(whole + self.total[j] - shared > 0, bound, 1), 1.0), -1)
         best, where = 0.0, -1
         for s in np.argsort(-bound, kind="stable").tolist():
             if bound[s] + 1e-9 < max(similarity, best):
@@ -163,7 +180,7 @@ class Items:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, slice_items: int = SLICE_ITEMS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per document and item it holds: id, item id, start_word (0-based), n_words, similarity."""
     inner = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found = [_scan(inner, items, similarity) for items in _slices(benchmark, item_col, item_text, radius, slice_items, slice_bytes)]
+    found = [_scan(inner, items, similarity) for items in _slices(benchmark, item_col, item_text, radius, similarity, slice_items, slice_bytes)]
     return reduce(DataFrame.union, found).select(F.col("_id").alias(id_col), F.col("item").alias(item_col), "start_word", "n_words", "similarity")
 
 
@@ -171,18 +188,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """The rows of ``docs``, all columns, that hold no item. One pass and no shuffle for each slice of the benchmark."""
     names = docs.columns
     out = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.col(text_col).cast("string").alias("_text"))
-    for items in _slices(benchmark, item_col, item_text, radius, slice_items, slice_bytes):
+    for items in _slices(benchmark, item_col, item_text, radius, similarity, slice_items, slice_bytes):
         out = _pass(out, items, similarity)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
-def _slices(benchmark: DataFrame, item_col: str, item_text: str, radius: int, slice_items: int, slice_bytes: int):
+def _slices(benchmark: DataFrame, item_col: str, item_text: str, radius: int, similarity: float, slice_items: int, slice_bytes: int):
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     slices = max(1, -(-size.n // slice_items), -(-size.b // slice_bytes))
     for k in range(slices):  # hash slices come out a little uneven; each is collected on its own
         rows = sorted((r.item if r.item is not None else NULL_ID, r.text or "") for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).collect())
-        yield Items([None if i == NULL_ID else i for i, _ in rows], [t for _, t in rows], radius)
+        yield Items([None if i == NULL_ID else i for i, _ in rows], [t for _, t in rows], radius, similarity)
 
 
 def _pass(inner: DataFrame, items: Items, similarity: float) -> DataFrame:

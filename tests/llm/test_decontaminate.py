@@ -87,3 +87,39 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     assert decontaminate.contaminated(d, b).count() == 0 and decontaminate.contaminated(one, b).count() == 0
     assert decontaminate.contaminated(d, one.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def templated():
+    """Items repeated ten times, and documents that hold one with its first or last word edited."""
+    rnd = random.Random(8)
+    items, docs = [], []
+    for g in range(6):
+        body = [f"g{g}x{rnd.randrange(10**6)}" for _ in range(64)]
+        items += [(10 * g + i, " ".join(body)) for i in range(10)]
+        for i in range(10):
+            text = [*body[:-1], f"edit{g}n{i}"] if i % 2 else [f"edit{g}n{i}", *body[1:]]
+            docs.append((10 * g + i, " ".join([f"before{i}"] * (i % 4) + text + ["after"] * (i % 3))))
+    return docs, items
+
+
+def same(got, want):
+    assert set(got) == set(want), (len(set(want) - set(got)), len(set(got) - set(want)), len(want))
+    for k in got:
+        assert got[k][0] == pytest.approx(want[k][0], abs=1e-9) and got[k][1] == want[k][1], (k, got[k], want[k])
+
+
+def scanned(docs, items):
+    """The scan without Spark."""
+    import pyarrow as pa
+
+    it = decontaminate.Items([i for i, _ in items], [t or "" for _, t in items], decontaminate.RADIUS, decontaminate.SIMILARITY)
+    w, h = decontaminate._hashed(pa.array([t for _, t in docs], pa.string()))
+    return {(docs[r[0]][0], it.ids[r[1]]): (r[3], r[2]) for r in it.scan(h, w.first, decontaminate.SIMILARITY)}
+
+
+@pytest.mark.parametrize("given", [data, templated])
+def test_no_pair_is_missed(given):
+    docs, items = given()
+    want = brute(docs, items)
+    assert len(want) > 100
+    same(scanned(docs, items), want)
