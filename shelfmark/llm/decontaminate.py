@@ -2,7 +2,7 @@
 
 Texts are lower-cased; words are runs of ASCII letters, digits and non-ASCII characters; a
 shingle is five words (an item of fewer words is one shingle of its own length). A shingle's weight
-is 1 / (number of items of its slice that hold it), 1 if none does. A document holds an item if a window of the
+is 1 / (number of items that hold it), 1 if none does. A document holds an item if a window of the
 item's number of words has weighted multiset Jaccard similarity >= ``similarity`` with it.
 
 1. Windows can only reach that similarity where the document holds enough of the item's shingle
@@ -16,7 +16,9 @@ item's number of words has weighted multiset Jaccard similarity >= ``similarity`
 4. Candidates are verified by the exact similarity; the best window of each item is reported.
 
 The benchmark is collected and broadcast in slices of at most ``slice_items`` items and ``slice_bytes``
-bytes, however many that takes; documents never are, and are never shuffled.
+bytes, however many that takes; documents never are, and are never shuffled. If there are several, the
+shingles held by two or more items are counted over the whole benchmark first and go with every slice (16 bytes
+each), so that a slice weighs windows and items as one slice would.
 
 Defined cases: null, empty or wordless documents and items match nothing; repeated documents give
 repeated rows, repeated item ids rows of their own; a document shorter than an item has no window of it; ties go to
@@ -54,24 +56,52 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(np.uint64) << _BITS).sum(1, dtype=np.uint64)
 
 
+def _find(keys: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The place of each shingle among the keys, which are in order, or -1."""
+    if not len(keys):
+        return np.full(len(shingles), -1)
+    at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+    return np.where(keys[at] == shingles, at, -1)
+
+
+def _shingles(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    own = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    return [rolling(x, min(SHINGLE, len(x))) if len(x) else x for x in own]
+
+
+def _held(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that two or more items hold, in order, and how many items hold each."""
+
+    def run(batches):
+        for t in blocks(batches, "text"):
+            w, h = _hashed(t.column("text").combine_chunks())
+            key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(x) for x in _shingles(h, w.first))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    shared = items.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    key, n = (shared.column(c).to_numpy() for c in ("key", "n"))
+    key = key.view(np.uint64)
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
 class Items:
     """The index of one slice of the benchmark."""
 
-    def __init__(self, ids: list, texts: list, radius: int, similarity: float | None = None):
+    def __init__(self, ids: list, texts: list, radius: int, similarity: float | None = None, held: tuple[np.ndarray, np.ndarray] | None = None):
         w, h = _hashed(pa.array(texts, pa.string()))
         self.ids = ids
         self.size = w.counts
-        self.shingles: list[np.ndarray] = []
-        for d in range(len(texts)):
-            own = h[w.first[d] : w.first[d + 1]]
-            self.shingles.append(rolling(own, min(SHINGLE, len(own))) if len(own) else own)
+        self.shingles = _shingles(h, w.first)
         pairs = [(s, d) for d, x in enumerate(self.shingles) for s in set(x.tolist())]
         keys = np.array([p[0] for p in pairs], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.key, self.begin = np.unique(keys[order], return_index=True)
         self.item = np.array([p[1] for p in pairs], np.int64)[order]
         self.end = np.r_[self.begin[1:], len(keys)]
-        self.weight_of = 1.0 / (self.end - self.begin)
+        # shingles in order, and how many items of the whole benchmark hold each; one that is not here weighs 1
+        self.held, count = (self.key, self.end - self.begin) if held is None else held
+        self.weight_of = 1.0 / count
         self.total = np.array([self.weights(x).sum() for x in self.shingles])
         self.counts = [Counter(x.tolist()) for x in self.shingles]
         sums = np.array([(_signs(x) * self.weights(x)[:, None]).sum(0) for x in self.shingles]).reshape(-1, 64)
@@ -88,14 +118,11 @@ class Items:
 
     def find(self, shingles: np.ndarray) -> np.ndarray:
         """The row of each shingle in the index, or -1."""
-        if not len(self.key):
-            return np.full(len(shingles), -1)
-        at = np.minimum(np.searchsorted(self.key, shingles), len(self.key) - 1)
-        return np.where(self.key[at] == shingles, at, -1)
+        return _find(self.key, shingles)
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
-        at = self.find(shingles)
-        return np.where(at >= 0, self.weight_of[at], 1.0) if len(self.key) else np.ones(len(shingles))
+        at = _find(self.held, shingles)
+        return np.where(at >= 0, self.weight_of[at], 1.0) if len(self.held) else np.ones(len(shingles))
 
     def candidates(self, fp: np.ndarray, item: int) -> np.ndarray:
         """Which window fingerprints the block index brings together with the item, within the radius."""
@@ -197,9 +224,10 @@ def _slices(benchmark: DataFrame, item_col: str, item_text: str, radius: int, si
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     slices = max(1, -(-size.n // slice_items), -(-size.b // slice_bytes))
+    held = _held(items) if slices > 1 else None  # one slice counts its own
     for k in range(slices):  # hash slices come out a little uneven; each is collected on its own
         rows = sorted((r.item if r.item is not None else NULL_ID, r.text or "") for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k).collect())
-        yield Items([None if i == NULL_ID else i for i, _ in rows], [t for _, t in rows], radius, similarity)
+        yield Items([None if i == NULL_ID else i for i, _ in rows], [t for _, t in rows], radius, similarity, held)
 
 
 def _pass(inner: DataFrame, items: Items, similarity: float) -> DataFrame:

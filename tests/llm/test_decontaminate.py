@@ -123,3 +123,14 @@ def test_no_pair_is_missed(given):
     want = brute(docs, items)
     assert len(want) > 100
     same(scanned(docs, items), want)
+
+
+@pytest.mark.parametrize("given", [data, templated])
+def test_slices_give_the_rows_of_one_slice(spark, given):
+    docs, items = given()
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    sliced = decontaminate.contaminated(d, b, slice_items=7)
+    rows = [sorted(map(repr, x.collect())) for x in (sliced, decontaminate.contaminated(d, b))]
+    assert rows[0] == rows[1] and len(rows[0]) > 100
+    assert sorted(map(repr, decontaminate.clean(d, b, slice_items=7).collect())) == sorted(map(repr, decontaminate.clean(d, b).collect()))
