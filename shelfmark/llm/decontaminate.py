@@ -3,7 +3,7 @@
 Texts are lower-cased; words are runs of ASCII letters, digits and non-ASCII characters; a
 shingle is five words (an item of fewer words is one shingle of its own length). A shingle's weight
 is 1 / (number of items that hold it), 1 if none does. A document holds an item if a window of the
-item's number of words has weighted multiset Jaccard similarity >= ``similarity`` with it.
+item's number of words (the whole document, if that is shorter) has weighted multiset Jaccard similarity >= ``similarity`` with it.
 
 1. Windows can only reach that similarity where the document holds enough of the item's shingle
    weight; this exact bound picks documents, items and the stretch of windows to look at.
@@ -21,7 +21,7 @@ shingles held by two or more items are counted over the whole benchmark first an
 each), so that a slice weighs windows and items as one slice would.
 
 Defined cases: null, empty or wordless documents and items match nothing; repeated documents give
-repeated rows, repeated item ids rows of their own; a document shorter than an item has no window of it; ties go to
+repeated rows, repeated item ids rows of their own; a document shorter than an item is its one window, n_words being what the window has; ties go to
 the earliest window; null ids stay null; extra columns are ignored; empty tables give an empty table.
 """
 
@@ -142,7 +142,7 @@ class Items:
         return sum(weight[s] * min(mine[s], theirs[s]) for s in sorted(both)) / union
 
     def scan(self, h: np.ndarray, first: np.ndarray, similarity: float):
-        """(document, item, first word, similarity) for each document of a block and each item it holds."""
+        """(document, item, first word, similarity, words of the window) for each document of a block and each item it holds."""
         for k in [*self.short, SHINGLE]:
             gram = rolling(h, k)
             at = self.find(gram)
@@ -159,13 +159,14 @@ class Items:
             doc, item, pos = doc[by], item[by], pos[by]
             heads = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0)]) if len(doc) else []
             for a, b in zip(heads, [*heads[1:], len(doc)], strict=True):
-                d, j, n = int(doc[a]), int(item[a]), int(self.size[item[a]])
+                d, j = int(doc[a]), int(item[a])
+                n = min(int(self.size[j]), int(first[d + 1] - first[d]))
                 mine = gram[pos[a:b]]
                 theirs = self.counts[j]
                 # weight of the item that the whole document could match at best
                 seen = Counter(mine.tolist())
                 most = sum(min(c, theirs[s]) * w for (s, c), w in zip(seen.items(), self.weights(np.array(list(seen), np.uint64)).tolist(), strict=True))
-                if most < similarity * self.total[j] - 1e-9 or n > first[d + 1] - first[d]:
+                if most < similarity * self.total[j] - 1e-9:
                     continue
                 yield from self._windows(gram, pos[a:b], d, j, n, k, int(first[d]), int(first[d + 1]), similarity)
 
@@ -201,7 +202,7 @@ class Items:
             if exact > best + 1e-12 or (where > s and exact > best - 1e-12):
                 best, where = exact, s
         if best >= similarity - 1e-12:
-            yield d, j, lo + where - begin, best
+            yield d, j, lo + where - begin, best, n
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, slice_items: int = SLICE_ITEMS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -252,7 +253,7 @@ def _scan(inner: DataFrame, items: Items, similarity: float) -> DataFrame:
             w, h = _hashed(t.column("_text").combine_chunks())
             out = list(it.scan(h, w.first, similarity))
             ids = longs(t.column("_id"), NULL_ID)
-            docs_, its, at, sim = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([ids_out(ids[docs_] if docs_ else np.zeros(0, np.int64)), pa.array([it.ids[j] for j in its], pa.int64()), pa.array(at, pa.int64()), pa.array([int(it.size[j]) for j in its], pa.int64()), pa.array(sim, pa.float64())], ["_id", "item", "start_word", "n_words", "similarity"])
+            docs_, its, at, sim, size = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([ids_out(ids[docs_] if docs_ else np.zeros(0, np.int64)), pa.array([it.ids[j] for j in its], pa.int64()), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(sim, pa.float64())], ["_id", "item", "start_word", "n_words", "similarity"])
 
     return inner.mapInArrow(run, "_id long, item long, start_word long, n_words long, similarity double")

@@ -134,3 +134,36 @@ def test_slices_give_the_rows_of_one_slice(spark, given):
     rows = [sorted(map(repr, x.collect())) for x in (sliced, decontaminate.contaminated(d, b))]
     assert rows[0] == rows[1] and len(rows[0]) > 100
     assert sorted(map(repr, decontaminate.clean(d, b, slice_items=7).collect())) == sorted(map(repr, decontaminate.clean(d, b).collect()))
+
+
+def brute_short(docs, items, least=0.8):
+    """Documents with fewer words than an item, as one window of it."""
+    held = Counter(s for _, t in items for s in set(sh(ws(t))))
+    out = {}
+    for d, text in docs:
+        w = ws(text)
+        for j, t in items:
+            k = min(5, len(ws(t)))
+            if k <= len(w) < len(ws(t)):
+                a, b = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)), Counter(sh(ws(t)))
+                wt = lambda x: 1 / held[x] if held[x] else 1.0
+                sim = sum(wt(x) * min(a[x], b[x]) for x in a | b) / sum(wt(x) * max(a[x], b[x]) for x in a | b)
+                if sim >= least - 1e-9:
+                    out[d, j] = (sim, 0)
+    return out
+
+
+def test_documents_shorter_than_an_item(spark):
+    docs, items = data()
+    for i, t in items:
+        w = ws(t)
+        docs += [(1000 + i, " ".join(w[:-1])), (2000 + i, " ".join(w[2:])), (3000 + i, " ".join(w[:-4])), (4000 + i, " ".join(w[: len(w) // 2] + w[len(w) // 2 + 1 :]))]
+    want = brute_short(docs, items)
+    assert len(want) > 40
+    same(scanned(docs, items), brute(docs, items) | want)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    size = {i: len(ws(t)) for i, t in docs}
+    got = {(r.doc_id, r.item_id): r.n_words for r in decontaminate.contaminated(d, b).collect()}
+    assert all(got[k] == size[k[0]] for k in want)
+    left = {r.doc_id for r in decontaminate.clean(d, b).collect()}
+    assert not left & {i for i, _ in want} and {i for i, _ in docs} - left == {i for i, _ in got}
