@@ -5,8 +5,11 @@
    about ``leaf`` nodes; the nearest ``k`` of a node over all its leaves start its neighbour list.
 3. *Refine.* Every node brings its neighbours and those it is a neighbour of together; among them
    each learns of nearer ones. Rounds go on until they change little (at most ``rounds``).
-4. *Enlarge.* Lists of nodes with more than k links are saturated. Linked nodes form components; each
-   component is compared with itself in tiles, whose size is bounded, so the link counts of saturated nodes are
+4. *Enlarge.* A list full of links is saturated: further links of its node may be hidden behind nearer ones. Linked
+   nodes form components; the nodes of saturated lists are searched again for the nearest k outside their own component,
+   components that link are joined, and so on until no list shows a link to another component (at least every second
+   component that has one is gone after each turn). A link between lists of which one is not saturated stands in that one.
+   Each component is compared with itself in tiles, whose size is bounded, so the link counts of saturated nodes are
    exact without a row for each pair.
 5. *Audit.* A bounded sample of nodes is compared with all nodes of their labels. Links it
    finds missing are added, and the search starts again with other trees and longer lists.
@@ -77,11 +80,11 @@ def _top(sim: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(-np.take_along_axis(sim, part, 1), axis=1, kind="stable"), 1)
 
 
-def _lists(node: np.ndarray, x: np.ndarray, k: int):
-    """For each node of a group, its k nearest in the group; in slices, so that memory stays bounded."""
+def _lists(node: np.ndarray, x: np.ndarray, own: np.ndarray, k: int):
+    """For each node of a group, its k nearest of another ``own`` in the group; in slices, so that memory stays bounded."""
     for a in range(0, len(node), 512):
         sim = x[a : a + 512] @ x.T
-        sim[np.arange(len(sim)), np.arange(a, a + len(sim))] = -2
+        sim[own[a : a + 512, None] == own[None]] = -2
         best = _top(sim, k)
         value = np.take_along_axis(sim, best, 1)
         for i in range(len(sim)):
@@ -112,13 +115,13 @@ def _start(nodes: DataFrame, sizes: dict, k: int, trees: range, leaf: int) -> Da
                 x = _matrix(part.column("vec"))
                 for t in trees:
                     at = _leaves(None, x, [label[i] for i in pick], sizes, t, leaf)
-                    yield pa.RecordBatch.from_arrays([pa.array(at), part.column("node"), part.column("vec")], ["leaf", "node", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(at), part.column("node"), part.column("own"), part.column("vec")], ["leaf", "node", "own", "vec"])
 
     def within(batches):
         for g in grouped(batches, "leaf"):
-            yield _list_batch(list(_lists(g.column("node").to_numpy(), _matrix(g.column("vec")), k)))
+            yield _list_batch(list(_lists(g.column("node").to_numpy(), _matrix(g.column("vec")), g.column("own").to_numpy(), k)))
 
-    dealt = nodes.select("node", "label", "vec").mapInArrow(deal, "leaf long, node long, vec array<double>")
+    dealt = nodes.select("node", "own", "label", "vec").mapInArrow(deal, "leaf long, node long, own long, vec array<double>")
     return _merge(dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(within, _LIST), k)
 
 
@@ -154,13 +157,61 @@ def _refine(nodes: DataFrame, lists: DataFrame, k: int, turn: int) -> DataFrame:
                 order = np.argsort(mix(node.view(np.uint64) + U64(turn << 32)))[:GATHER]
                 node, at = node[order], at[order]
             x = _matrix(g.column("vec").combine_chunks().take(pa.array(at)))
-            yield _list_batch(list(_lists(node, x, k)))
+            yield _list_batch(list(_lists(node, x, g.column("own").to_numpy()[at], k)))
 
-    met = lists.mapInArrow(pairs, "centre long, member long").join(nodes.select(F.col("node").alias("member"), "vec"), "member").select("centre", "member", "vec")
+    met = lists.mapInArrow(pairs, "centre long, member long").join(nodes.select(F.col("node").alias("member"), "own", "vec"), "member").select("centre", "member", "own", "vec")
     new = met.repartition("centre").sortWithinPartitions("centre").mapInArrow(meet, _LIST)
     return _merge(lists.union(new), k)
 
 
+def _search(nodes: DataFrame, sizes: dict, k: int, trees: range, leaf: int, rounds: range) -> DataFrame:
+    """The lists of the k nearest nodes of another ``own``."""
+    lists = durable(_start(nodes, sizes, k, trees, leaf), "nn-lists")
+    total = lists.agg(F.sum(F.octet_length("sims"))).first()[0] or 0
+    for r in rounds if total else ():
+        better = durable(_refine(nodes, lists, k, r), "nn-lists")
+        change = better.select("node", "near").exceptAll(lists.select("node", "near")).count()
+        discard(lists)
+        lists = better
+        if change <= 0.01 * sum(sizes.values()):
+            break
+    return lists
+
+
+def _sizes(nodes: DataFrame) -> dict:
+    return {r.label: r["count"] for r in nodes.groupBy("label").count().orderBy(F.desc("count")).limit(100_000).collect()}  # the largest labels; others fit a leaf or two
+
+
+def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The nodes whose k neighbours are all links."""
+
+    def run(batches):
+        for b in batches:
+            sims = [np.frombuffer(s, np.float64) for s in b.column("sims").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(pa.array([len(s) >= k and s.min() >= threshold for s in sims], pa.bool_()))], ["node"])
+
+    return lists.select("node", "sims").mapInArrow(run, "node long")
+
+
+def _enlarge(nodes: DataFrame, lists: DataFrame, edges: DataFrame, threshold: float, k: int, trees: range, leaf: int, rounds: range) -> tuple[DataFrame, DataFrame]:
+    """The edges, joined by those that saturated lists hid, and the components."""
+    full = durable(nodes.drop("own").join(_saturated(lists, k, threshold), "node"), "nn-full")
+    while True:
+        found = durable(components(edges, tag="nn-cc"), "nn-found")
+        placed = full.join(found.withColumnRenamed("component", "own"), "node")
+        several = placed.groupBy("label").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select(F.col("label").alias("label2"))
+        open_ = durable(placed.join(several, F.col("label") == F.col("label2"), "left_semi"), "nn-open")
+        sizes = _sizes(open_)
+        if not sizes:
+            return edges, found
+        apart = _search(open_, sizes, k, trees, leaf, rounds)
+        new = durable(_edges(apart, threshold), "nn-edges")
+        discard(open_, apart)
+        if new.isEmpty():
+            return edges, found
+        edges = durable(edges.union(new), "nn-edges")
+
+
 def _edges(lists: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -232,21 +283,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str =
     distinct = clean.distinct().groupBy("label", "vec").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     # The same id may stand on several vectors; a node is named by its vector then.
     nodes = durable(distinct.select(F.xxhash64("label", "vec").alias("node"), "label", "vec", "least", "n"), "nn-nodes")
-    sizes = {r.label: r["count"] for r in nodes.groupBy("label").count().orderBy(F.desc("count")).limit(100_000).collect()}  # the largest labels; others fit a leaf or two
+    nodes = nodes.withColumn("own", F.col("node"))
+    sizes = _sizes(nodes)
     edges, turn = None, 0
     while True:
-        lists = durable(_start(nodes, sizes, k, range(turn * trees, (turn + 1) * trees), leaf), "nn-lists")
-        total = lists.agg(F.sum(F.octet_length("sims"))).first()[0] or 0
-        for r in range(rounds if total else 0):
-            better = durable(_refine(nodes, lists, k, turn * rounds + r), "nn-lists")
-            change = better.select("node", "near").exceptAll(lists.select("node", "near")).count()
-            discard(lists)
-            lists = better
-            if change <= 0.01 * sum(sizes.values()):
-                break
+        dealt, steps = range(turn * trees, (turn + 1) * trees), range(turn * rounds, (turn + 1) * rounds)
+        lists = _search(nodes, sizes, k, dealt, leaf, steps)
         new = _edges(lists, threshold)
         edges = durable(new if edges is None else new.union(edges), "nn-edges")
-        found = durable(components(edges, tag="nn-cc"), "nn-found")
+        edges, found = _enlarge(nodes, lists, edges, threshold, k, dealt, leaf, steps)
         missing, links, lost = _audit(nodes, found, threshold, audit, turn)
         turn += 1
         if not lost or turn >= attempts:

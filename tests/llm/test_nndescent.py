@@ -65,3 +65,22 @@ def test_audit_repairs_a_poor_search(spark):
 
 def test_empty(spark):
     assert nndescent.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
+
+
+def test_full_lists_hide_no_link(spark):
+    rnd = np.random.default_rng(3)
+    rows = []
+    for label in range(3):
+        for _ in range(4):
+            a, b = np.linalg.qr(rnd.normal(size=(32, 2)))[0].T
+            # chains of groups of 12 tight copies: each links with the next, which is nearer to none of the copies
+            for step in range(3):
+                at = np.arccos(0.985) * step
+                centre = a * np.cos(at) + b * np.sin(at)
+                for _ in range(12):
+                    rows.append((len(rows), label, (centre + rnd.normal(size=32) * 1e-4).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    want = brute(rows)
+    assert {n for n, _ in want.values()} == {23, 35} and len({c for _, c in want.values()}) == 12
+    for r in nndescent.near_duplicates(df, audit=0).collect():
+        assert (r.n_links, r.component_id) == want[r.vec_id], r
