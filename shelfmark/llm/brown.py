@@ -10,7 +10,7 @@ the bigram table of them, of frequency bands and of the end mark.
 * Symbols: the ``top`` most frequent words one by one; every other word by the power of two
   below its count; words counted once share the class RARE with all unknown words; the end mark.
 * Exchange clustering moves each top word, in order of frequency, to the class that raises the
-  likelihood of the bigrams most, until a pass moves none (or ``passes`` is reached).
+  likelihood of the bigrams most, until a pass moves none (or ``passes``, if given, is reached).
 * P(class | class before) is the bigram estimate with Dirichlet smoothing by the class unigram;
   P(word | class) = count / class count; within RARE an unknown word has the share n1 / (n1 + 2 n2)
   (Good-Turing; n_i: words counted i times), the words counted once share the rest.
@@ -22,6 +22,8 @@ and the model falls back on its uniform prior; extra columns are ignored; an emp
 
 from __future__ import annotations
 
+from itertools import count as count_up
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from ..plans.durable import discard, durable
 from .kernel import NULL_ID, U64, blocks, buffers, grouped, hash_spans, ids_out, longs, lower_ascii, task_id, words
 
-TOP, CLASSES, PASSES, PRIOR = 1000, 64, 6, 20.0
+TOP, CLASSES, PRIOR = 1000, 64, 20.0
 BANDS = 48
 _BLOCK = "block long, shard long, ids binary, held binary, first binary, local binary, uniq binary, counts binary"
 
@@ -184,7 +186,7 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(n: np.ndarray, movable: int, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
+def exchange(n: np.ndarray, movable: int, classes: int = CLASSES, passes: int | None = None) -> np.ndarray:
     """The class of each symbol: the first ``movable`` (in order of frequency) are clustered by exchange into
     ``classes`` classes, every other symbol keeps a class of its own."""
     size = len(n)
@@ -196,7 +198,7 @@ def exchange(n: np.ndarray, movable: int, classes: int = CLASSES, passes: int =
     hot[np.arange(size), cls] = 1
     N = hot.T @ n @ hot
     out_w, in_w = n.sum(1), n.sum(0)
-    for _ in range(passes):
+    for _ in count_up() if passes is None else range(passes):  # each move raises the likelihood, so the passes end
         moved = 0
         for w in range(movable):
             a = cls[w]

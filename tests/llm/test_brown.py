@@ -83,3 +83,11 @@ def test_empty_and_untrained(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in brown.score_texts(df, F.lit(True)).collect()}
     assert got[1].base_score == 0 and got[1].n_known == 0 and got[1].train_tokens == 0 and got[2].n_tokens == 1
+
+
+def test_exchange_goes_on_until_it_settles():
+    n = np.random.default_rng(5).integers(0, 3, (130, 130))
+    got = brown.exchange(n, 120, 12)
+    best = likelihood(n, got)
+    assert all(likelihood(n, np.r_[got[:w], b, got[w + 1 :]]) <= best + 1e-6 for w in range(120) for b in range(12))
+    assert best > likelihood(n, brown.exchange(n, 120, 12, passes=6)) + 1e-6
