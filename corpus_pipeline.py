@@ -33,11 +33,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, the one of smallest id."""
+    """One row of each SimHash group, the first by id (null last), fingerprint and text."""
     ship(spark)
-    near = simhash.near_duplicates(docs)
-    kept = durable(near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # Rows are numbered, as ids can be null or repeat; stored, so that the numbers stay.
+    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    near = simhash.near_duplicates(rows, id_col="_row").select(F.col("_row").alias("_row2"), "fp", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", F.xxhash64("text"), "_row")
+    named = rows.select("_row", "doc_id", "text").join(near, F.col("_row") == F.col("_row2"))
+    kept = durable(named.groupBy("component_id").agg(F.min(order)["_row"].alias("_kept")).select("_kept"), "kept")
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

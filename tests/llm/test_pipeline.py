@@ -38,3 +38,13 @@ def test_stages_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).where("round_trip").count() > 100
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    texts = [" ".join(f"w{k}n{i}" for i in range(40)) for k in range(4)]
+    # a repeated id, a group of null ids alone, null ids beside an id, and rows alike in all columns
+    rows = [(5, texts[0], "a"), (5, texts[0], "b"), (5, texts[1], "c"), (None, texts[2], "d"), (None, texts[2], "e"), (None, texts[3], "f"), (7, texts[3], "g"), (7, texts[3], "g"), (6, texts[3], "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, texts.index(r.text)) for r in got.collect()) == [(0, 2), (5, 0), (5, 1), (6, 3)]
