@@ -14,6 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.durable import durable
 
 BLOCK_BYTES = 6_000_000
 U64 = np.uint64
@@ -159,12 +163,12 @@ def sliding(values: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Regroup a task's batches into tables of whole rows of about ``limit`` bytes of ``text``."""
+    """Regroup a task's batches into tables of whole rows of about ``limit`` bytes of ``text``; a row counts 16 bytes at least."""
     held, size = [], 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
         begin = 0
         for i, s in enumerate(sizes):
             if size and size + s > limit:
@@ -186,6 +190,43 @@ def task_id() -> int:
     return ctx.partitionId() if ctx else 0
 
 
+def to_bytes(table: pa.Table) -> bytes:
+    """A table as one compressed value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(body)).read_all()
+
+
+#: A block's number is its task and its place in the task; a row's number is its block and its place in the block.
+BLOCK_BITS = 20
+
+
+def packed(docs: DataFrame, text: str, tag: str) -> DataFrame:
+    """``docs`` as stored blocks: block long, size long (bytes of text), n long (rows), body binary (the rows, compressed).
+
+    Stored, so that a block stays what it is when a lost task runs again. What later steps find out about a block
+    comes back to it by its number, and its rows travel compressed, one value a block."""
+
+    def run(batches):
+        for number, t in enumerate(blocks(batches, text)):
+            size = pc.sum(pc.binary_length(t.column(text))).as_py() or 0
+            yield pa.RecordBatch.from_arrays([pa.array([(task_id() << BLOCK_BITS) + number]), pa.array([size]), pa.array([t.num_rows]), pa.array([to_bytes(t)], pa.binary())], ["block", "size", "n", "body"])
+
+    return durable(docs.mapInArrow(run, "block long, size long, n long, body binary"), tag, "none")
+
+
+def with_answers(bodies: DataFrame, answers: DataFrame) -> DataFrame:
+    """Blocks (block, body) and answers (block, part, answer), dealt by block; a block's rows lie together, its body
+    first, with part -1. ``grouped`` splits them again."""
+    both = bodies.select("block", F.lit(-1).cast("long").alias("part"), F.col("body").alias("answer")).unionByName(answers.select("block", "part", "answer"))
+    return both.repartition("block").sortWithinPartitions("block", "part")
+
+
 def longs(col, missing: int) -> np.ndarray:
     """An integer column as int64, with ``missing`` for null."""
     if isinstance(col, pa.ChunkedArray):
@@ -220,6 +261,23 @@ def joined(w: Words, keep: np.ndarray) -> pa.Array:
     return col.cast(pa.string())
 
 
+def without(w: Words, gone: np.ndarray, offsets: np.ndarray, null: pa.Array) -> pa.Array:
+    """Per document, its text without the words that are gone, each with the white space behind it; all other bytes stay."""
+    n = len(w.data)
+    step = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(gone)
+    if len(at):
+        ahead = np.r_[w.starts[1:], n]
+        last = np.zeros(len(gone), bool)
+        last[w.first[1:][w.counts > 0] - 1] = True
+        np.add.at(step, w.starts[at], 1)
+        np.add.at(step, np.where(last, w.ends, ahead)[at], -1)
+    keep = np.cumsum(step)[:-1] == 0
+    new = np.r_[0, np.cumsum(keep)][offsets].astype(np.int64)
+    col = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(new.tobytes()), pa.py_buffer(w.data[keep].tobytes())])
+    return pc.if_else(null, pa.scalar(None, pa.string()), col.cast(pa.string()))
+
+
 def grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows of each key, from batches that are sorted by the key."""
     held: list[pa.RecordBatch] = []

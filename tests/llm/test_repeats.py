@@ -37,11 +37,11 @@ def corpus():
     return out
 
 
-@pytest.mark.parametrize("width,cells", [(20, 1 << 29), (20, 2), (12, 1 << 29)])
-def test_matches_brute_force(spark, width, cells):
+@pytest.mark.parametrize("width,options", [(20, {}), (20, {"segments": 1, "cell_bits": 1}), (12, {"segments": 500}), (20, {"fan": 2})])
+def test_matches_brute_force(spark, width, options):
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, _key int").repartition(7)
-    got = repeats.remove_repeats(df, width=width, max_cells=cells).collect()
+    got = repeats.remove_repeats(df, width=width, **options).collect()
     want = brute(rows, width)
     assert len(got) == len(rows)
     want_rows = sorted(((str(i), *want[i if i is not None else 2**63 - 1, t or ""]) for i, t in rows))
@@ -58,3 +58,25 @@ def test_blocks_split_within_a_task(spark, monkeypatch):
 
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_untouched_bytes_stay(spark):
+    rows = [(i, t) for i, t in corpus()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows, 20)
+    got = repeats.remove_repeats(df, spaced=False).collect()
+    assert len(got) == len(rows)
+    same = {(i, t) for i, t in rows}
+    for r in got:
+        if not r.n_removed:
+            assert (r.doc_id, r.kept) in same
+    assert sorted((str(r.doc_id), r.n_removed, re.findall(r"[^\x20\x09-\x0D]+", r.kept or "")) for r in got) == sorted((str(i), want[k][1], re.findall(r"[^\x20\x09-\x0D]+", want[k][2])) for i, t in rows for k in [(i if i is not None else 2**63 - 1, t or "")])
+
+
+def test_keeps_columns_of_any_type_and_null_ids(spark):
+    text = " ".join(f"v{k}" for k in range(30))
+    rows = [(None, text, [1, 2], {"a": 1}), (4, text, None, None), (4, text, [3], {}), (None, "x " + text, [], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, body array<int>, block map<string,int>")
+    got = {(r.doc_id, r.n_words): r for r in repeats.remove_repeats(df, keep=("body", "block")).collect()}
+    assert {k: r.n_removed for k, r in got.items()} == {(None, 30): 30, (4, 30): 0, (None, 31): 30}
+    assert got[None, 30].body == [1, 2] and got[None, 30].block == {"a": 1}
