@@ -264,6 +264,19 @@ def repeated_places(blocks_: DataFrame, width: int = WIDTH, k: int = ANCHOR, seg
     return marks.where("shard < 0").select("block", (-F.col("shard")).alias("part"), F.col("places").alias("answer"))
 
 
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", width: int = WIDTH) -> DataFrame:
+    """All rows and columns of ``docs`` with the repeats cut out of the texts; texts that lose none keep every byte.
+    ``size_col``, if there is such a column, becomes the length of a text that was cut."""
+    names = docs.columns
+    others = [c for c in names if c != text_col]
+    plain = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text_in"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
+    cut = remove_repeats(plain, "_doc", "_text_in", width, tuple(f"c{i}" for i in range(len(others))), spaced=False)
+    new = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text_col: F.col("kept").cast(docs.schema[text_col].dataType)}
+    if size_col in others:
+        new[size_col] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[size_col].dataType)).otherwise(new[size_col])
+    return cut.select(*(new[c].alias(c) for c in names))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep: tuple[str, ...] = (), spaced: bool = True, segments: int | None = None, cell_bits: int = CELL_BITS, fan: int = FAN) -> DataFrame:
     """One row per document: id, the columns of ``keep``, n_words, n_removed, and ``kept``: the words left, joined by one
     space, or, unless ``spaced``, the text without the removed words and the white space behind them, all other bytes

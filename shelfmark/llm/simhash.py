@@ -16,8 +16,7 @@ A bucket yields a spanning forest of its verified links, never all pairs, and co
 found by star contraction. No fingerprint list reaches the driver.
 
 Defined cases: null text counts as empty; no words gives fingerprint zero, which links like
-any other; null ids are kept, sort after all others, and report component null only when their
-whole component has null ids; rows that repeat give repeated rows; extra columns are ignored;
+any other; null ids are kept and report component null only when their whole component has null ids; rows that repeat give repeated rows; extra columns are ignored;
 an empty table gives an empty table.
 """
 
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.durable import durable
-from .kernel import NULL_ID, U64, blocks, buffers, ids_out, loads, longs, lower_ascii, words
+from .kernel import BLOCK_BITS, NULL_ID, U64, blocks, buffers, from_bytes, grouped, ids_out, loads, longs, lower_ascii, packed, with_answers, words
 
 _P1, _P2, _P3, _P4, _P5 = (U64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 #: Costs of a probe row and of a candidate comparison, relative to each other.
@@ -286,14 +285,50 @@ def _linked(cols: list[np.ndarray], radius: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).astype(np.int64)), pa.array(np.concatenate(b).astype(np.int64))], ["a", "b"])
 
 
+def groups(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """One row per distinct fingerprint (``fp``): fp, root (one fingerprint of its component)."""
+    nodes = durable(fps.select("fp").distinct(), "simhash-nodes")
+    found = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius), tag="simhash-cc")
+    return durable(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """One row per document: id, fp long, component_id (the smallest id reachable by links, itself included)."""
     fps = durable(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    nodes = durable(fps.groupBy("fp").agg(F.coalesce(F.min(id_col), F.lit(int(NULL_ID))).alias("rep")), "simhash-nodes")
-    # Several fingerprints may have no id at all: they share the sentinel, so link on fingerprints then.
-    found = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius), tag="simhash-cc")
-    joined = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    joined = durable(joined, "simhash-roots")
-    least = durable(joined.groupBy("root").agg(F.min("rep").alias("least")), "simhash-least")
-    where = durable(joined.join(least.withColumnRenamed("root", "root2"), F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), F.when(F.col("least") != int(NULL_ID), F.col("least")).alias("component_id")), "simhash-where")
+    own = fps.groupBy(F.col("fp").alias("fp1")).agg(F.min(id_col).alias("rep"))
+    placed = durable(groups(fps, radius).join(own, F.col("fp") == F.col("fp1")).select("fp", "rep", "root"), "simhash-placed")
+    least = durable(placed.groupBy(F.col("root").alias("root2")).agg(F.min("rep").alias("component_id")), "simhash-least")
+    where = durable(placed.join(least, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id"), "simhash-where")
     return fps.join(where, F.col("fp") == F.col("fp2")).select(id_col, "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
+    """The first row of each group of near duplicates, by id (null last), fingerprint and a hash of the text; all columns.
+    Rows are chosen, not ids, so that rows with null or repeated ids are judged like all others. Texts are dealt once,
+    as compressed blocks, to meet the numbers of the rows that stay."""
+    names, text = docs.columns, F.col(text_col).cast("string")
+    at = f"c{names.index(text_col)}"
+    inner = docs.select(*(F.col(c).cast("string").alias(at) if c == text_col else F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
+    stored = packed(inner, at, "simhash-blocks")
+
+    def run(batches):
+        for batch in batches:
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                t = from_bytes(body)
+                fp = fingerprints_of(*buffers(t.column(at)), shingle).view(np.int64)
+                row = (block << BLOCK_BITS) + np.arange(t.num_rows)
+                yield from pa.Table.from_arrays([pa.array(row), pa.array(fp), t.column("_id"), t.column("_key")], ["row", "fp", "_id", "_key"]).to_batches()
+
+    def pick(batches):
+        for g in grouped(batches, "block"):
+            t = from_bytes(g.column("answer")[0].as_py())
+            stay = np.sort(g.column("part").to_numpy()[1:])
+            yield from t.drop_columns(["_id", "_key"]).take(pa.array(stay)).to_batches()
+
+    fps = durable(stored.select("block", "body").mapInArrow(run, "row long, fp long, _id long, _key long"), "simhash-fp")
+    first = F.min(F.struct(F.col("_id").isNull().alias("late"), "_id", "fp", "_key", "row"))
+    own = fps.groupBy(F.col("fp").alias("fp1")).agg(first.alias("best"))
+    rooted = groups(fps, radius).join(own, F.col("fp") == F.col("fp1")).groupBy("root").agg(F.min("best")["row"].alias("row"))
+    stay = rooted.select(F.shiftright("row", BLOCK_BITS).alias("block"), F.col("row").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("part"), F.lit(None).cast("binary").alias("answer"))
+    out = with_answers(stored, stay).mapInArrow(pick, inner.drop("_id", "_key").schema)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
