@@ -33,27 +33,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash group, the first by id (null last), fingerprint and text."""
+    """One row of each SimHash group, the first by id (null last), fingerprint and text. Null texts count as empty, and
+    empty texts are one group; rows are chosen, so rows that repeat, or share an id, do not all stay."""
     ship(spark)
-    # Rows are numbered, as ids can be null or repeat; stored, so that the numbers stay.
-    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    near = simhash.near_duplicates(rows, id_col="_row").select(F.col("_row").alias("_row2"), "fp", "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", F.xxhash64("text"), "_row")
-    named = rows.select("_row", "doc_id", "text").join(near, F.col("_row") == F.col("_row2"))
-    kept = durable(named.groupBy("component_id").agg(F.min(order)["_row"].alias("_kept")).select("_kept"), "kept")
-    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    return simhash.deduplicate(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the words of passages that start earlier elsewhere; n_chars follows the text."""
+    """All documents without the words of passages that start earlier elsewhere. Texts that lose nothing keep every
+    byte (null stays null); of the others n_chars follows the text."""
     ship(spark)
-    keep = _others(docs, "doc_id", "text")
-    plain = docs.select("doc_id", "text", *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
-    cut = repeats.remove_repeats(plain, keep=tuple(f"c{i}" for i in range(len(keep))))
-    out = cut.select("doc_id", F.col("kept").alias("text"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)))
-    if "n_chars" in keep:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return repeats.cut_repeats(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
