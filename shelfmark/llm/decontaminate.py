@@ -5,15 +5,16 @@ shingle is five words (an item of fewer words is one shingle of its own length).
 is 1 / (number of items that hold it), 1 if none does. A document holds an item if a window of the
 item's number of words (the whole document, if that is shorter) has weighted multiset Jaccard similarity >= ``similarity`` with it.
 
-1. Windows can only reach that similarity where the document holds enough of the item's shingle
-   weight; this exact bound picks documents, items and the stretch of windows to look at.
+1. A document can only hold an item if it holds enough of the item's shingle weight; this exact bound picks the
+   documents, the item sizes and the places at which windows are made at all.
 2. Every item-sized window there gets a weighted 64-bit SimHash (running sums over the stretch).
-3. Eight 8-bit blocks index the items' fingerprints. Fingerprints within 8t + 7 bits agree
-   up to t bits in some block, so looking up each block with its t-bit neighbours finds all of them.
+3. Eight 8-bit blocks index the items' fingerprints, size by size. Fingerprints within r bits agree up to r // 8
+   bits in some block, so looking up a window's eight blocks, each with its neighbours, finds all items within their radius.
    An item's radius is ``radius``, or more where its weights ask for it: a window that reaches the similarity
    differs by at most total * (1 - similarity) / similarity, so only bits whose sum is no larger can turn over,
-   and no such window lies outside. (An item all of whose bits can turn over needs no fingerprints.)
-4. Candidates are verified by the exact similarity; the best window of each item is reported.
+   and no such window lies outside.
+4. Candidates are verified by the exact similarity; the best window of each item is reported. So the result is that
+   of comparing every window with every item.
 
 The benchmark is collected and broadcast in slices of at most ``slice_items`` items and ``slice_bytes``
 bytes, however many that takes; documents never are, and are never shuffled. If there are several, the
@@ -40,6 +41,8 @@ from .kernel import NOT_ALNUM, NULL_ID, U64, blocks, buffers, hash_spans, ids_ou
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
 SLICE_ITEMS, SLICE_BYTES = 20_000, 16_000_000
+#: Pairs (of a shingle or a window and an item) that are looked at together.
+CHUNK = 1 << 21
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -93,17 +96,18 @@ class Items:
         self.ids = ids
         self.size = w.counts
         self.shingles = _shingles(h, w.first)
-        pairs = [(s, d) for d, x in enumerate(self.shingles) for s in set(x.tolist())]
+        self.counts = [Counter(x.tolist()) for x in self.shingles]
+        pairs = [(s, d, n) for d, held_ in enumerate(self.counts) for s, n in held_.items()]
         keys = np.array([p[0] for p in pairs], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.key, self.begin = np.unique(keys[order], return_index=True)
-        self.item = np.array([p[1] for p in pairs], np.int64)[order]
+        # shingle by shingle, the items that hold it and how often
+        self.item, self.often = (np.array([p[i] for p in pairs], np.int64)[order] for i in (1, 2))
         self.end = np.r_[self.begin[1:], len(keys)]
         # shingles in order, and how many items of the whole benchmark hold each; one that is not here weighs 1
         self.held, count = (self.key, self.end - self.begin) if held is None else held
         self.weight_of = 1.0 / count
         self.total = np.array([self.weights(x).sum() for x in self.shingles])
-        self.counts = [Counter(x.tolist()) for x in self.shingles]
         sums = np.array([(_signs(x) * self.weights(x)[:, None]).sum(0) for x in self.shingles]).reshape(-1, 64)
         self.fp = _pack(sums)
         self.radius = np.full(len(texts), radius)
@@ -111,10 +115,11 @@ class Items:
             loose = similarity * np.abs(sums) <= (1 - similarity) * self.total[:, None] + 1e-5
             self.radius = np.maximum(radius, loose.sum(1))
         self.short = sorted({int(n) for n in self.size if 0 < n < SHINGLE})
-        # block k, value v -> items whose k-th byte is within ``near`` bits of v, as a bit set
-        values = np.arange(256, dtype=np.uint8)
-        bytes_of = self.fp.view(np.uint8).reshape(-1, 8)
-        self.index = [np.packbits(np.bitwise_count(values[:, None] ^ bytes_of[None, :, k]) <= self.radius // 8, axis=1) for k in range(8)]
+        # For the items of each size: block k, value v -> those whose k-th byte is within a share of the radius of v, as
+        # a bit set. Fingerprints within r bits agree up to r // 8 bits in some byte.
+        values, bytes_of = np.arange(256, dtype=np.uint8), self.fp.view(np.uint8).reshape(-1, 8)
+        self.of_size = {int(n): np.flatnonzero(self.size == n) for n in np.unique(self.size) if n}
+        self.index = {n: [np.packbits(np.bitwise_count(values[:, None] ^ bytes_of[None, own, k]) <= self.radius[own] // 8, axis=1) for k in range(8)] for n, own in self.of_size.items()}
 
     def find(self, shingles: np.ndarray) -> np.ndarray:
         """The row of each shingle in the index, or -1."""
@@ -124,14 +129,16 @@ class Items:
         at = _find(self.held, shingles)
         return np.where(at >= 0, self.weight_of[at], 1.0) if len(self.held) else np.ones(len(shingles))
 
-    def candidates(self, fp: np.ndarray, item: int) -> np.ndarray:
-        """Which window fingerprints the block index brings together with the item, within the radius."""
-        byte = fp.view(np.uint8).reshape(-1, 8)
-        met = np.zeros(len(fp), bool)
-        for k in range(8):
-            met |= (self.index[k][byte[:, k], item >> 3] >> (7 - (item & 7))) & 1 == 1
-        met[met] = np.bitwise_count(fp[met] ^ self.fp[item]) <= self.radius[item]
-        return met
+    def candidates(self, fp: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items of ``n`` words whose fingerprints the block index brings together, within the item's radius."""
+        own, byte = self.of_size[n], fp.view(np.uint8).reshape(-1, 8)
+        found = self.index[n][0][byte[:, 0]]
+        for k in range(1, 8):
+            found |= self.index[n][k][byte[:, k]]
+        window, item = np.nonzero(np.unpackbits(found, axis=1, count=len(own)))
+        item = own[item]
+        near = np.bitwise_count(fp[window] ^ self.fp[item]) <= self.radius[item]
+        return window[near], item[near]
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         mine, theirs = Counter(window.tolist()), self.counts[item]
@@ -149,38 +156,56 @@ class Items:
             hit = np.flatnonzero((at >= 0) & valid_runs(first, k))
             if not len(hit):
                 continue
-            per = (self.end - self.begin)[at[hit]]
-            item = self.item[np.repeat(self.begin[at[hit]] - (np.cumsum(per) - per), per) + np.arange(per.sum())]
-            pos = np.repeat(hit, per)
-            right = np.minimum(self.size[item], SHINGLE) == k
-            item, pos = item[right], pos[right]
-            doc = np.searchsorted(first, pos, side="right") - 1
-            by = np.lexsort((pos, item, doc))
-            doc, item, pos = doc[by], item[by], pos[by]
-            heads = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0)]) if len(doc) else []
+            doc = np.searchsorted(first, hit, side="right") - 1
+            heads = np.flatnonzero(np.r_[True, np.diff(doc) != 0])
             for a, b in zip(heads, [*heads[1:], len(doc)], strict=True):
-                d, j = int(doc[a]), int(item[a])
-                n = min(int(self.size[j]), int(first[d + 1] - first[d]))
-                mine = gram[pos[a:b]]
-                theirs = self.counts[j]
-                # weight of the item that the whole document could match at best
-                seen = Counter(mine.tolist())
-                most = sum(min(c, theirs[s]) * w for (s, c), w in zip(seen.items(), self.weights(np.array(list(seen), np.uint64)).tolist(), strict=True))
-                if most < similarity * self.total[j] - 1e-9:
-                    continue
-                yield from self._windows(gram, pos[a:b], d, j, n, k, int(first[d]), int(first[d + 1]), similarity)
-
-    def _windows(self, gram, pos, d, j, n, k, begin, end, similarity):
-        width = n - k + 1  # shingles of a window
-        lo, hi = max(begin, int(pos[0]) - width + 1), min(end - n, int(pos[-1]))
-        if hi < lo:
-            return
+                d = int(doc[a])
+                yield from self._document(gram, hit[a:b], at[hit[a:b]], d, k, int(first[d]), int(first[d + 1]), similarity)
+
+    def _reach(self, at: np.ndarray) -> np.ndarray:
+        """The weight of each item that a document with these shingles (rows of the index) could match at best."""
+        out = np.zeros(len(self.size))
+        row, n = np.unique(at, return_counts=True)
+        size = (self.end - self.begin)[row]
+        # A shingle can be in any number of items: at most about CHUNK pairs at a time.
+        for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(np.cumsum(size) // CHUNK)) + 1):
+            r, per = row[part], size[part]
+            pair = np.repeat(self.begin[r] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            out += np.bincount(self.item[pair], np.minimum(np.repeat(n[part], per), self.often[pair]) * np.repeat(self.weights(self.key[r]), per), len(out))
+        return out
+
+    def _document(self, gram, hit, at, d, k, begin, end, similarity):
+        able = np.flatnonzero(self._reach(at) >= np.maximum(similarity * self.total - 1e-9, 1e-12))
+        able = able[np.minimum(self.size[able], SHINGLE) == k]
+        for n in np.unique(self.size[able]).tolist():
+            size = min(n, end - begin)
+            width = size - k + 1  # shingles of a window
+            places = {j: hit[np.isin(gram[hit], self.shingles[j])] for j in able[self.size[able] == n].tolist()}
+            # Windows that hold a shingle of one of these items.
+            pos = np.unique(np.concatenate(list(places.values())))
+            lo, hi = np.maximum(pos - width + 1, begin), np.minimum(pos, end - size)
+            lo = np.maximum(lo, np.r_[begin, np.maximum.accumulate(hi)[:-1] + 1])
+            lo, hi = lo[hi >= lo], hi[hi >= lo]
+            met = {j: [] for j in places}
+            for a, b in _stretches(lo, hi + 1, max(1, CHUNK // (len(self.of_size[n]) + 64))):
+                window, item = self.candidates(self._fingerprints(gram[a : b + width - 1], width), n)
+                for j in np.unique(item).tolist():
+                    if j in met:  # others lack the weight, wherever the window lies
+                        met[j].append(a + window[item == j])
+            for j, starts in met.items():
+                if starts:
+                    yield from self._verify(gram, places[j], np.concatenate(starts), d, j, size, width, begin, similarity)
+
+    def _fingerprints(self, g: np.ndarray, width: int) -> np.ndarray:
+        """The weighted fingerprint of each run of ``width`` shingles."""
+        sums = np.vstack([np.zeros(64), np.cumsum(_signs(g) * self.weights(g)[:, None], axis=0, dtype=np.float64)])
+        return _pack(np.round(sums[width:] - sums[:-width], 6))
+
+    def _verify(self, gram, pos, starts, d, j, n, width, begin, similarity):
+        """The most similar of the windows at ``starts`` (in order), if it is similar enough."""
+        lo, hi = int(starts[0]), int(starts[-1])
         g = gram[lo : hi + width]
         weight = self.weights(g)
-        met = np.ones(len(g) - width + 1, bool)
-        if self.radius[j] < 64:
-            sums = np.vstack([np.zeros(64), np.cumsum(_signs(g) * weight[:, None], axis=0, dtype=np.float64)])
-            met = self.candidates(_pack(np.round(sums[width:] - sums[:-width], 6)), j)
         # Occurrence p of a shingle that the item holds c times is shared with the windows that start
         # at or before p and after the c-th occurrence before p.
         at, turns = np.zeros(len(g) + 1), defaultdict(list)
@@ -193,6 +218,8 @@ class Items:
         shared, whole = np.cumsum(at)[: len(g) - width + 1], np.r_[0, np.cumsum(weight)]
         whole = whole[width:] - whole[:-width]
         bound = shared / np.maximum(whole + self.total[j] - shared, 1e-12)  # no window is more similar than this
+        met = np.zeros(len(bound), bool)
+        met[starts - lo] = True
         bound = np.where(met & (shared > 1e-9), np.minimum(np.where(whole + self.total[j] - shared > 0, bound, 1), 1.0), -1)
         best, where = 0.0, -1
         for s in np.argsort(-bound, kind="stable").tolist():
@@ -205,6 +232,13 @@ class Items:
             yield d, j, lo + where - begin, best, n
 
 
+def _stretches(begin: np.ndarray, end: np.ndarray, most: int):
+    """The intervals in pieces of at most ``most`` numbers."""
+    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+        for c in range(a, b, most):
+            yield c, min(b, c + most)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, slice_items: int = SLICE_ITEMS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per document and item it holds: id, item id, start_word (0-based), n_words, similarity."""
     inner = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))

@@ -60,15 +60,8 @@ def test_matches_brute_force(spark, slice_items):
     b = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item long").repartition(4)
     got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontaminate.contaminated(d, b, slice_items=slice_items).collect()}
-    if slice_items < 100:  # weights count items of the slice only; whole copies are found all the same
-        assert {k for k, (s, _) in brute(docs, items).items() if s > 0.999} <= set(got)
-        return
-    want = brute(docs, items)
-    missed = {k: want[k] for k in set(want) - set(got)}
-    assert not set(got) - set(want) and all(s < 0.88 for s, _ in missed.values()) and len(missed) <= 0.02 * len(want)
-    assert len(want) > 100
-    for k in got:
-        assert got[k][0] == pytest.approx(want[k][0], abs=1e-9) and got[k][1] == want[k][1], (k, got[k], want[k])
+    same(got, brute(docs, items))
+    assert len(got) > 100
 
 
 def test_block_index_finds_all_within_the_radius():
@@ -78,8 +71,18 @@ def test_block_index_finds_all_within_the_radius():
     it = decontaminate.Items([i for i, _ in items], [t for _, t in items], 23)
     fp = np.random.default_rng(0).integers(0, 2**63, 3000, dtype=np.uint64)
     fp[:500] = it.fp[0] ^ (fp[:500] & fp[500:1000])
-    for j in range(len(items)):
-        assert (it.candidates(fp, j) == (np.bitwise_count(fp ^ it.fp[j]) <= 23)).all()
+    for n in it.of_size:
+        fp[500 : 500 + len(items)] = it.fp ^ np.uint64(0xFF00FF)  # 16 bits away, in two bytes
+        window, item = it.candidates(fp, n)
+        want = {(i, j) for j in it.of_size[n].tolist() for i in np.flatnonzero(np.bitwise_count(fp ^ it.fp[j]) <= 23).tolist()}
+        assert set(zip(window.tolist(), item.tolist(), strict=True)) == want and want
+
+
+def test_hot_shingles_are_looked_at_in_parts(monkeypatch):
+    docs, items = templated()
+    whole = scanned(docs, items)
+    monkeypatch.setattr(decontaminate, "CHUNK", 50)
+    assert scanned(docs, items) == whole and len(whole) > 100
 
 
 def test_empty(spark):
