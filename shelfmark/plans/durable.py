@@ -40,6 +40,15 @@ def durable(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint in the shared folder. With ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    its files go when no plan refers to it any more, which suits frames that are handed out inside a lazy result."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by ``durable`` that no later plan reads."""
     for df in frames:
