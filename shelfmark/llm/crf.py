@@ -31,6 +31,8 @@ from .kernel import NULL_ID, U64, blocks, buffers, hash_spans, ids_out, loads, l
 
 BUCKETS, GRAMS, CHUNK = 1 << 18, (1, 2, 3, 4, 5), 64
 PER_LANGUAGE, STEPS, RATE, RIDGE = 150, 30, 0.3, 1e-4
+#: Bytes of text that are labelled together: forward-backward holds some ten numbers for each word and language.
+PREDICT_BYTES = 2_500_000
 #: Separators: every ASCII byte that is no letter.
 NOT_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
@@ -248,7 +250,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         mdl = shared.value
-        for t in blocks(batches, "_text"):
+        for t in blocks(batches, "_text", PREDICT_BYTES):
             text = t.column("_text").combine_chunks()
             n_docs = len(text)
             pred, score = ["und"] * n_docs, np.zeros(n_docs)
