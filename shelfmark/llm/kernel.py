@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..plans.durable import checkpointed
 
 BLOCK_BYTES = 6_000_000
 U64 = np.uint64
@@ -192,8 +192,9 @@ def task_id() -> int:
 
 def to_bytes(table: pa.Table) -> bytes:
     """A table as one compressed value."""
+    codec = pa.Codec("zstd", compression_level=3)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as out:
         out.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 
@@ -206,7 +207,7 @@ def from_bytes(body: bytes) -> pa.Table:
 BLOCK_BITS = 20
 
 
-def packed(docs: DataFrame, text: str, tag: str) -> DataFrame:
+def packed(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` as stored blocks: block long, size long (bytes of text), n long (rows), body binary (the rows, compressed).
 
     Stored, so that a block stays what it is when a lost task runs again. What later steps find out about a block
@@ -217,7 +218,7 @@ def packed(docs: DataFrame, text: str, tag: str) -> DataFrame:
             size = pc.sum(pc.binary_length(t.column(text))).as_py() or 0
             yield pa.RecordBatch.from_arrays([pa.array([(task_id() << BLOCK_BITS) + number]), pa.array([size]), pa.array([t.num_rows]), pa.array([to_bytes(t)], pa.binary())], ["block", "size", "n", "body"])
 
-    return durable(docs.mapInArrow(run, "block long, size long, n long, body binary"), tag, "none")
+    return checkpointed(docs.mapInArrow(run, "block long, size long, n long, body binary"))
 
 
 def with_answers(bodies: DataFrame, answers: DataFrame) -> DataFrame:

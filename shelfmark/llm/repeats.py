@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     inner = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     kept = [f"_keep_{c}" for c in keep]
     schema = ", ".join(["_id long", *(f"`_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_words long, n_removed long, kept string"])
-    stored = packed(inner, "_text", "repeat-blocks")
+    stored = packed(inner, "_text")
 
     def cut(batches):
         for g in grouped(batches, "block"):

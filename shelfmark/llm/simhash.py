@@ -309,7 +309,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names, text = docs.columns, F.col(text_col).cast("string")
     at = f"c{names.index(text_col)}"
     inner = docs.select(*(F.col(c).cast("string").alias(at) if c == text_col else F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
-    stored = packed(inner, at, "simhash-blocks")
+    stored = packed(inner, at)
 
     def run(batches):
         for batch in batches:
