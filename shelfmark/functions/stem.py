@@ -7,7 +7,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The usual Snowball-based English stop list of full-text search.
@@ -115,6 +117,24 @@ def stemmed(vocabulary: DataFrame, word: str = "word") -> DataFrame:
     return vocabulary.mapInPandas(run, f"{fields}, stem string")
 
 
+def stems_within(words: Column) -> Column:
+    """The distinct stems, in order, of an array of words without its stop words. Each Arrow batch stems its distinct words once."""
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().dictionary_encode()
+        known = flat.dictionary.to_pylist()
+        found = [stem(w) for w in known]
+        at, size = flat.indices.to_pylist(), pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+        out, begin = [], 0
+        for n in size:
+            out.append(sorted({found[i] for i in at[begin : begin + n]}))
+            begin += n
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run(F.filter(words, lambda w: ~F.array_contains(stop_array(), w)))
+
+
 def stop_array():
     return F.array(*(F.lit(w) for w in STOP_WORDS))
 

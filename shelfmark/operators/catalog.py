@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.stem import is_stop, stemmed
+from ..functions.stem import is_stop, stemmed, stems_within
 from ..plans.durable import durable
+from ..plans.files import write_text
 
 SOURCE = {"id": "string", "name": "string", "other_names": "string", "group_key": "string", "code": "string", "facets": "map<string,string>", "rank": "float"}
 
@@ -24,14 +25,16 @@ def source(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Catalog:
-    """documents(id, name, name_key, other_names, group_key, code, facets, rank, words, stems), names, words, and
-    the postings that stand in for inverted, prefix and trigram indexes."""
+    """documents(id, name, name_key, other_names, other_key, group_key, code, facets, rank, words, stems), names, words;
+    the postings that stand in for inverted and prefix indexes, sorted by term; and for trigrams ``texts``, the distinct
+    token strings of the two searched fields with their ordered trigrams, whose postings name the string, not the rows."""
 
     documents: DataFrame
     names: DataFrame
     words: DataFrame
     postings_stem: DataFrame
     postings_word: DataFrame
+    texts: DataFrame
     postings_trgm: DataFrame
 
     def save(self, path: str) -> None:
@@ -46,27 +49,30 @@ class Catalog:
 def build(src: DataFrame, unique: bool = True) -> Catalog:
     """All tables of a source. ``unique`` checks that no id repeats."""
     rows = source(src)
-    base = durable(
-        rows.select(
-            "id", "name", F.array_join(tx.tokens(F.col("name")), " ").alias("name_key"), "other_names", "group_key",
-            tx.code_key(F.col("code")).alias("code"), F.coalesce("facets", F.create_map().cast("map<string,string>")).alias("facets"), "rank",
-            F.array_distinct(tx.tokens(F.concat_ws(" ", "name", "other_names"))).alias("words"),
-        ),
-        "catalog-base",
+    key = lambda c: F.array_join(tx.tokens(F.col(c)), " ")
+    base = rows.select(
+        "id", "name", key("name").alias("name_key"), "other_names", key("other_names").alias("other_key"), "group_key",
+        tx.code_key(F.col("code")).alias("code"), F.coalesce("facets", F.create_map().cast("map<string,string>")).alias("facets"), "rank",
+        F.array_distinct(tx.tokens(F.concat_ws(" ", "name", "other_names"))).alias("words"),
     )
-    if unique and (twice := base.groupBy("id").count().where("count > 1").first()):
+    documents = durable(base.withColumn("stems", stems_within(F.col("words"))), "documents")
+    if unique and (twice := documents.groupBy("id").count().where("count > 1").first()):
         raise ValueError(f"id {twice.id!r} repeats")
-    postings_word = durable(base.select(F.explode("words").alias("term"), "id"), "postings-word")
-    counts = postings_word.groupBy(F.col("term").alias("word")).agg(F.count("*").cast("int").alias("doc_count"))
-    vocabulary = durable(stemmed(counts).withColumn("stop", is_stop(F.col("word"))), "vocabulary")
-    kept = vocabulary.where("not stop").select(F.col("word").alias("term"), "stem")
-    postings_stem = durable(postings_word.join(kept, "term").select(F.col("stem").alias("term"), "id").distinct(), "postings-stem")
-    found = postings_stem.groupBy(F.col("term").alias("stem")).agg(F.count("*").cast("int").alias("match_count"))
-    own = vocabulary.select("word", "doc_count", F.when(F.col("stop"), F.col("word")).otherwise(F.col("stem")).alias("stem"))
+    counts = documents.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").cast("int").alias("doc_count"))
+    found = documents.select(F.explode("stems").alias("stem")).groupBy("stem").agg(F.count("*").cast("int").alias("match_count"))
+    own = stemmed(counts).withColumn("stem", F.when(is_stop(F.col("word")), F.col("word")).otherwise(F.col("stem")))
     words = durable(own.join(found, "stem", "left").select("word", "doc_count", "stem", F.coalesce("match_count", F.lit(0)).alias("match_count")), "words")
-    stems = postings_stem.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("stems"))
-    documents = durable(base.join(stems, "id", "left").withColumn("stems", F.coalesce("stems", F.array().cast("array<string>"))), "documents")
-    return Catalog(documents, durable(names_of(documents), "names"), words, postings_stem, postings_word, durable(trigram_postings(base), "postings-trgm"))
+    postings = [durable(_sorted(documents.select(F.explode(c).alias("term"), "id"), "term"), f"postings-{c}") for c in ("stems", "words")]
+    keys = documents.select("name_key").union(documents.select("other_key")).toDF("key").where("key <> ''").distinct()
+    texts = durable(keys.withColumn("grams", tx.ordered_trigrams(F.split("key", " "))), "texts")
+    trigrams = texts.select(F.explode(F.array_distinct("grams")).alias("trigram"), "key")
+    return Catalog(documents, durable(_sorted(names_of(documents), "name_key"), "names"), words, *postings, texts, durable(_sorted(trigrams, "trigram"), "postings-trgm"))
+
+
+def _sorted(df: DataFrame, column: str) -> DataFrame:
+    """Files in order of the column, so that a search for one value or prefix skips most row groups. A frequent
+    value may fill several files."""
+    return df.repartitionByRange(F.col(column), F.xxhash64(*df.columns)).sortWithinPartitions(column)
 
 
 def names_of(documents: DataFrame) -> DataFrame:
@@ -80,34 +86,29 @@ def names_of(documents: DataFrame) -> DataFrame:
     return spelling.alias("s").join(tied.alias("t"), same).select("s.name_key", "s.name", "s.doc_count", "t.sample_id")
 
 
-def trigram_postings(documents: DataFrame) -> DataFrame:
-    fields_ = [documents.select(F.lit(f).alias("field"), F.explode(tx.trigrams(tx.tokens(F.col(f)))).alias("trigram"), "id") for f in ("name", "other_names")]
-    return fields_[0].unionByName(fields_[1])
-
-
 def refresh(src: DataFrame, root: str, version: str) -> Catalog:
-    """Build a new version beside the one in use; a reader of ``root/<version>`` sees all tables change together."""
-    spark = src.sparkSession
+    """Build a new version beside the one in use; a reader of ``root/<version>`` sees all tables change together. The
+    pointer to it is written beside the old one and takes its name in one step; older versions stay."""
     build(src).save(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
-    return current(spark, root)
+    write_text(src.sparkSession, f"{root}/current", version)
+    return current(src.sparkSession, root)
 
 
 def current(spark: SparkSession, root: str) -> Catalog:
-    return Catalog.load(spark, f"{root}/{spark.read.parquet(f'{root}/current').first().version}")
+    return Catalog.load(spark, f"{root}/{spark.read.text(f'{root}/current').first().value}")
 
 
-def prefix_keys(df: DataFrame, column: str, most: int = 3) -> DataFrame:
-    """``df`` once for each of the first ``most`` lengths of ``column``, with ``k`` and ``key``: turns a prefix test into an equi-join."""
+def prefix_keys(df: DataFrame, column: str, least: int = 1, most: int = 8) -> DataFrame:
+    """``df`` once for each length from ``least`` to ``most`` that ``column`` has, with ``k`` and ``key``: turns a prefix test into an equi-join."""
     n = F.least(F.length(column), F.lit(most))
-    return df.where(F.length(column) > 0).withColumn("k", F.explode(F.sequence(F.lit(1), n))).withColumn("key", F.substr(F.col(column), F.lit(1), F.col("k")))
+    return df.where(F.length(column) >= least).withColumn("k", F.explode(F.sequence(F.lit(least), n))).withColumn("key", F.substr(F.col(column), F.lit(1), F.col("k")))
 
 
-def prefix_join(left: DataFrame, typed: str, right: DataFrame, column: str, most: int = 3) -> DataFrame:
-    """Rows of ``right`` whose ``column`` starts with ``typed`` of ``left`` (not empty)."""
+def prefix_join(left: DataFrame, typed: str, right: DataFrame, column: str, least: int = 1, most: int = 8) -> DataFrame:
+    """Rows of ``right`` whose ``column`` starts with ``typed`` of ``left`` (``least`` letters or more)."""
     lead = F.least(F.length(typed), F.lit(most))
-    a = left.where(F.length(typed) > 0).withColumn("k", lead).withColumn("key", F.substr(F.col(typed), F.lit(1), lead))
-    return a.join(prefix_keys(right, column, most), ["k", "key"]).where(F.startswith(F.col(column), F.col(typed))).drop("k", "key")
+    a = left.where(F.length(typed) >= least).withColumn("k", lead).withColumn("key", F.substr(F.col(typed), F.lit(1), lead))
+    return a.join(prefix_keys(right, column, least, most), ["k", "key"]).where(F.startswith(F.col(column), F.col(typed))).drop("k", "key")
 
 
 def top(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:

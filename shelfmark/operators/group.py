@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..plans.durable import checkpointed
 from .catalog import Catalog, prefix_join, top
 from .retrieve import search
 
@@ -28,14 +29,22 @@ def suggest(catalog: Catalog, queries: DataFrame) -> DataFrame:
     """qid, pos, name, id, doc_count: names that begin with the input, then, if they are few, names of matches."""
     words = tx.tokens(F.left(F.coalesce("q", F.lit("")), F.lit(256)))
     asked = queries.select("qid", "q", F.array_join(words, " ").alias("typed"), _clamped("lim", 8, 50).alias("n"), F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)).alias("longest")).where("typed <> ''")
-    listed = prefix_join(asked, "typed", catalog.names, "name_key").withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("doc_count").desc(), "name_key"))).where("at <= n").persist()
+    one = asked.select("typed").distinct()
+    # 50 is the most that any query lists; queries that type the same are listed once.
+    best_of = top(prefix_join(one, "typed", catalog.names, "name_key", 1, 12), ["typed"], [F.col("doc_count").desc(), F.col("name_key")], 50)
+    place = F.row_number().over(Window.partitionBy("typed").orderBy(F.col("doc_count").desc(), "name_key"))
+    listed = checkpointed(best_of.withColumn("at", place).join(asked, "typed").where("at <= n"))
     had = listed.groupBy("qid").agg(F.count("*").alias("had"))
     short = asked.join(had, "qid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < n and longest >= 4")
+    cols = ["qid", F.col("at").cast("int").alias("pos"), "name", F.col("sample_id").alias("id"), "doc_count"]
+    short = checkpointed(short)
+    if short.isEmpty():
+        return listed.select(*cols)
     rows = search(catalog, short.select("qid", "q", F.lit(None).cast("map<string,string>").alias("filters"), F.lit(1000).alias("lim")))
     other = rows.join(catalog.documents.select("id", "name_key"), "id").join(short.select("qid", "typed", "had", "n"), "qid").where(~F.startswith("name_key", "typed"))
     best = top(other, ["qid", "name_key"], [F.col("pos")], 1).join(catalog.names.select("name_key", "name", "doc_count"), "name_key")
     filled = best.withColumn("at", F.col("had") + F.row_number().over(Window.partitionBy("qid").orderBy("pos"))).where("at <= n")
-    return listed.select("qid", F.col("at").cast("int").alias("pos"), "name", F.col("sample_id").alias("id"), "doc_count").unionByName(filled.select("qid", F.col("at").cast("int").alias("pos"), "name", "id", "doc_count"))
+    return listed.select(*cols).unionByName(filled.select("qid", F.col("at").cast("int").alias("pos"), "name", "id", "doc_count"))
 
 
 def facets(catalog: Catalog, queries: DataFrame, per_facet: int | None = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.stem import stemmed, stop_array
+from ..plans.durable import checkpointed
 from .catalog import Catalog, prefix_join, top
 
 STEPS = ("code", "word", "prefix", "typo")
@@ -36,9 +37,9 @@ def _ranked(found: DataFrame, step: str, order: list) -> DataFrame:
     return found.withColumn("pos", pos).where(F.col("n").isNull() | (F.col("pos") <= F.col("n"))).select("qid", "id", F.lit(step).alias("step"), "pos")
 
 
-def _in_catalog(hits: DataFrame, q: DataFrame, catalog: Catalog) -> DataFrame:
-    """Hits (qid, id) with the document's sort columns, filtered by facets."""
-    docs = catalog.documents.select("id", "name_key", "rank", "code", "facets")
+def _in_catalog(hits: DataFrame, q: DataFrame, catalog: Catalog, *more: str) -> DataFrame:
+    """Hits (qid, id) with the document's sort columns and ``more``, filtered by facets."""
+    docs = catalog.documents.select("id", "name_key", "rank", "facets", *more)
     return hits.join(q.select("qid", "text", "f", "n"), "qid").join(docs, "id").where(_passes())
 
 
@@ -49,9 +50,8 @@ def _by_name(found: DataFrame, step: str) -> DataFrame:
 def code_step(q: DataFrame, catalog: Catalog) -> DataFrame:
     code = F.regexp_replace("text", "^0+", "")
     asked = q.where(F.col("text").rlike("^[0-9]+$") & (F.length(code) >= 4)).withColumn("typed", code)
-    docs = catalog.documents.where("code is not null").select("id", "code", "facets", F.left("code", F.lit(4)).alias("head"))
-    found = asked.withColumn("head", F.left("typed", F.lit(4))).join(docs, "head").where(F.startswith("code", "typed") & _passes())
-    return _ranked(found, "code", [F.col("code"), F.col("id")])
+    docs = catalog.documents.where("code is not null").select("id", "code", "facets")
+    return _ranked(prefix_join(asked, "typed", docs, "code", 4, 10).where(_passes()), "code", [F.col("code"), F.col("id")])
 
 
 def stems_of(q: DataFrame) -> DataFrame:
@@ -68,42 +68,73 @@ def unfinished(terms: DataFrame, catalog: Catalog) -> DataFrame:
     return first.where(F.col("full_stem") != F.col("stem")).select("qid").distinct()
 
 
+def _rarest(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """Of each query's terms (qid, term), the one that the fewest rows hold (``counts``: term, rows), with all of its terms
+    as ``all_terms``. A query with a term that no row holds is gone."""
+    known = terms.join(counts, "term", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "term")).alias("lead"), F.collect_set("term").alias("all_terms"))
+    return known.where("lead.rows > 0").select("qid", F.col("lead.term").alias("term"), "all_terms")
+
+
 def word_step(q: DataFrame, catalog: Catalog, terms: DataFrame | None = None) -> DataFrame:
     terms = stems_of(q) if terms is None else terms
     ready = terms.join(unfinished(terms, catalog), "qid", "left_anti").select("qid", F.col("stem").alias("term")).distinct()
-    needed = ready.groupBy("qid").agg(F.count("*").alias("needed"))
-    hits = ready.join(catalog.postings_stem, "term").groupBy("qid", "id").agg(F.count("*").alias("had"))
-    return _by_name(_in_catalog(hits.join(needed, "qid").where("had = needed").select("qid", "id"), q, catalog), "word")
+    counts = catalog.words.groupBy(F.col("stem").alias("term")).agg(F.max("match_count").alias("rows"))
+    hits = _rarest(ready, counts).join(catalog.postings_stem, "term")
+    found = _in_catalog(hits, q, catalog, "stems").where(F.size(F.array_except("all_terms", "stems")) == 0)
+    return _by_name(found, "word")
 
 
 def prefix_step(q: DataFrame, catalog: Catalog) -> DataFrame:
     able = q.where(F.exists("kept", lambda w: F.length(w) >= 3))
-    terms = able.select("qid", F.explode(F.array_distinct("kept")).alias("typed"))
-    needed = terms.groupBy("qid").agg(F.count("*").alias("needed"))
-    full = prefix_join(terms, "typed", catalog.words.select(F.col("word").alias("term")), "term")
-    hits = full.join(catalog.postings_word, "term").select("qid", "typed", "id").distinct().groupBy("qid", "id").agg(F.count("*").alias("had"))
-    return _by_name(_in_catalog(hits.join(needed, "qid").where("had = needed").select("qid", "id"), q, catalog), "prefix")
+    terms = able.select("qid", F.explode(F.array_distinct("kept")).alias("term"))
+    full = prefix_join(terms.select("term").distinct(), "term", catalog.words.select("word", "doc_count"), "word")
+    lead = _rarest(terms, full.groupBy("term").agg(F.sum("doc_count").alias("rows")))
+    hits = lead.join(full.select("term", "word"), "term").join(catalog.postings_word.withColumnRenamed("term", "word"), "word").select("qid", "id", "all_terms").distinct()
+    each = F.forall("all_terms", lambda t: F.exists("words", lambda w: F.startswith(w, t)))
+    return _by_name(_in_catalog(hits, q, catalog, "words").where(each), "prefix")
+
+
+def alike_texts(asked: DataFrame, catalog: Catalog, least: float = TYPO) -> DataFrame:
+    """g, key, sim: the texts of the catalog that resemble each distinct gram set (``grams``, named ``g``) enough.
+
+    A text reaches the similarity only if it shares ceil(least x size) trigrams, so it holds one of any size - that + 1:
+    the rarest are looked up, which leaves the common trigrams out of the join; then the exact count decides."""
+    sets = asked.select("g", "grams").dropDuplicates(["g"])
+    needed = F.ceil(F.lit(least) * F.size("grams"))
+    rows = catalog.postings_trgm.groupBy("trigram").agg(F.count("*").alias("rows"))
+    every = sets.select("g", (F.size("grams") - needed + 1).alias("looked_up"), F.explode("grams").alias("trigram"))
+    order = Window.partitionBy("g").orderBy("rows", "trigram")
+    rare = every.join(rows, "trigram", "left").withColumn("r", F.row_number().over(order)).where("r <= looked_up and rows > 0")
+    pairs = rare.join(catalog.postings_trgm, "trigram").select("g", "key").distinct()
+    full = pairs.join(sets, "g").join(catalog.texts.withColumnRenamed("grams", "own"), "key")
+    enough = full.where(F.size(F.array_intersect("grams", "own")) >= needed)
+    scored = enough.select("g", "key", tx.word_similarity(F.col("grams"), F.col("own")).alias("sim"))
+    return scored.where(F.col("sim") >= F.lit(least).cast("float"))
 
 
 def typo_step(q: DataFrame, catalog: Catalog, least: float = TYPO) -> DataFrame:
-    asked = q.withColumn("grams", tx.trigrams(F.col("kept")))
-    # A field reaches the similarity only if it shares ceil(least x size) trigrams: an exact prefilter.
-    each = asked.select("qid", F.ceil(F.lit(least) * F.size("grams")).alias("needed"), F.explode("grams").alias("trigram"))
-    near = each.join(catalog.postings_trgm, "trigram").groupBy("qid", "id", "field").agg(F.count("*").alias("had"), F.first("needed").alias("needed")).where("had >= needed")
-    pairs = near.select("qid", "id").distinct()
-    docs = catalog.documents.select("id", "name", "other_names", "rank", "facets")
-    full = pairs.join(asked.select("qid", "f", "n", "grams"), "qid").join(docs, "id").where(_passes())
-    against = lambda c: tx.word_similarity(F.col("grams"), tx.ordered_trigrams(tx.tokens(F.col(c))))
-    scored = full.withColumn("sim", F.greatest(against("name"), against("other_names"))).where(F.col("sim") >= F.lit(least).cast("float"))
-    return _ranked(scored, "typo", [F.col("sim").desc(), F.col("rank").desc_nulls_last(), F.col("id")])
+    grams = F.array_sort(tx.trigrams(F.col("kept")))
+    asked = q.select("qid", "text", "f", "n", grams.alias("grams")).withColumn("g", F.array_join("grams", "|"))
+    docs = catalog.documents
+    held = docs.select(F.col("name_key").alias("key"), "id").union(docs.where("other_key <> name_key").select("other_key", "id"))
+    near = alike_texts(asked, catalog, least).join(held, "key").groupBy("g", "id").agg(F.max("sim").alias("sim"))
+    found = _in_catalog(near.join(asked.select("qid", "g"), "g").drop("g"), q, catalog)
+    return _ranked(found, "typo", [F.col("sim").desc(), F.col("rank").desc_nulls_last(), F.col("id")])
 
 
 def search(catalog: Catalog, queries: DataFrame) -> DataFrame:
-    """qid, id, step, pos. Kept in memory or on disk step by step, as each is read twice."""
-    left = parse(queries).persist()
+    """qid, id, step, pos. Queries that ask the same are answered once. Each step's answer is stored, and a step runs
+    only if queries are left."""
+    same = F.to_json(F.struct("text", F.array_sort(F.map_entries("f")).alias("f"), "n"))
+    asked = checkpointed(parse(queries).withColumn("same", same))
+    one = checkpointed(asked.dropDuplicates(["same"]).drop("qid").withColumn("number", F.monotonically_increasing_id()))
+    left = one.withColumnRenamed("number", "qid").drop("same")
     out = None
     for step in (code_step, word_step, prefix_step, typo_step):
-        found = step(left, catalog).persist()
+        found = checkpointed(step(left, catalog))
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("qid").distinct(), "qid", "left_anti")
-    return out
+        left = checkpointed(left.join(found.select("qid").distinct(), "qid", "left_anti"))
+        if left.isEmpty():
+            break
+    whose = asked.select("qid", "same").join(one.select("same", "number"), "same").select("qid", "number")
+    return out.withColumnRenamed("qid", "number").join(whose, "number").select("qid", "id", "step", "pos")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.stem import is_stop, stemmed
+from ..plans.durable import checkpointed
 from .catalog import Catalog, prefix_join, top
 
 SIMILAR = 0.3
@@ -46,7 +47,7 @@ def similar_words(catalog: Catalog, queries: DataFrame, per_word: int | None = 8
     """qid, pos, n (order within the word), word, word_matches, alternative, alternative_matches, completes."""
     most = min(max(8 if per_word is None else per_word, 1), 50)
     ratio = max(100 if finish_ratio is None else finish_ratio, 1)
-    c = with_counts(typed_words(queries), catalog).persist()
+    c = checkpointed(with_counts(typed_words(queries), catalog))
     each = c.drop("qid", "pos").distinct()
     alts = catalog.words.select(F.col("word").alias("alternative"), F.col("stem").alias("alt_stem"), F.col("match_count").alias("alt_n"))
     near = each.withColumn("alternative", F.explode(tx.edits1(F.col("word")))).join(alts, "alternative")
@@ -114,7 +115,7 @@ def known_edits(words: DataFrame, catalog: Catalog) -> DataFrame:
     base = words.select("word").distinct().join(own, "word", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     once = base.withColumn("e", F.explode(tx.edits1(F.col("word"))))
     fit = lambda d, k: d.join(vocabulary, F.col("e") == F.col("alternative")).where("doc_count > own and alternative <> word").select("word", "alternative", F.lit(k).alias("edits"), "doc_count").distinct()
-    near = fit(once, 1).persist()
+    near = checkpointed(fit(once, 1))
     far = once.join(near.select("word").distinct(), "word", "left_anti").select("word", "own", F.explode(tx.edits1(F.col("e"))).alias("e")).distinct()
     both = near.unionByName(fit(far, 2))
     return both.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("edits", F.col("doc_count").desc(), "alternative")))

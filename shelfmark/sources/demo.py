@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contained_words
+from ..plans.files import exists, put_in_place
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -48,14 +49,10 @@ def write_sample(df: DataFrame, path: str) -> None:
 def load_all_or_nothing(df: DataFrame, path: str, replace: bool = False) -> None:
     """Write beside the target, then swap; refuses to replace a table unless told to."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target, staging = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target) and not replace:
+    if exists(spark, path) and not replace:
         raise FileExistsError(path)
     df.write.mode("overwrite").parquet(f"{path}.part")
-    fs.delete(target, True)
-    fs.rename(staging, target)
+    put_in_place(spark, f"{path}.part", path)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
