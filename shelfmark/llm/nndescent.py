@@ -4,15 +4,17 @@
 2. *Start.* Each of ``trees`` random-hyperplane trees deals the nodes of a label into leaves of
    about ``leaf`` nodes; the nearest ``k`` of a node over all its leaves start its neighbour list.
 3. *Refine.* Every node brings its neighbours and those it is a neighbour of together; among them
-   each learns of nearer ones. Rounds go on until they change little (at most ``rounds``).
+   each learns of nearer ones. Rounds go on until one changes at most a hundredth of the lists. Where very many meet, at a hub
+   or in a leaf that no hyperplane parts, they meet in parts.
 4. *Enlarge.* A list full of links is saturated: further links of its node may be hidden behind nearer ones. Linked
    nodes form components; the nodes of saturated lists are searched again for the nearest k outside their own component,
    components that link are joined, and so on until no list shows a link to another component (at least every second
    component that has one is gone after each turn). A link between lists of which one is not saturated stands in that one.
    Each component is compared with itself in tiles, whose size is bounded, so the link counts of saturated nodes are
    exact without a row for each pair.
-5. *Audit.* A bounded sample of nodes is compared with all nodes of their labels. Links it
-   finds missing are added, and the search starts again with other trees and longer lists.
+5. *Audit.* A bounded sample of nodes is compared with all nodes of their labels. Links between different components
+   that it finds are added, and the search starts again with other trees and longer lists, until an audit (of another
+   sample) finds none. The recall that the audits saw is a column of the result.
 
 Cosines are in double precision; a pair links if its cosine is >= ``threshold``.
 
@@ -24,6 +26,8 @@ other columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from itertools import count as count_up
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +37,7 @@ from ..plans.components import components
 from ..plans.durable import discard, durable
 from .kernel import U64, grouped, mix
 
-THRESHOLD, K, TREES, LEAF, ROUNDS, AUDIT, TILE, GATHER = 0.98, 8, 8, 256, 2, 500, 1000, 64
+THRESHOLD, K, TREES, LEAF, AUDIT, TILE, GATHER = 0.98, 8, 8, 256, 500, 500, 64
 
 
 def _matrix(col) -> np.ndarray:
@@ -55,11 +59,10 @@ def _nodes(vectors: DataFrame, id_col: str, label_col: str, vec_col: str) -> Dat
     return clean
 
 
-def _leaves(node: np.ndarray, x: np.ndarray, label: np.ndarray, sizes: dict, tree: int, leaf: int) -> np.ndarray:
-    """The leaf of each node in one tree: its label and the signs of its products with the tree's hyperplanes."""
+def _leaves(x: np.ndarray, label: list[str], depth: np.ndarray, tree: int) -> np.ndarray:
+    """The leaf of each node in one tree: its label and the signs of its products with ``depth`` of the tree's hyperplanes."""
     planes = np.random.default_rng(1000 + tree).normal(size=(32, x.shape[1]))
     signs = (x @ planes.T > 0).astype(np.uint64)
-    depth = np.array([max(0, int(np.ceil(np.log2(max(sizes.get(v, 1), 1) / leaf)))) for v in label])
     code = np.zeros(len(x), U64)
     for d in range(32):
         code |= np.where(depth > d, signs[:, d] << U64(d), U64(0))
@@ -67,6 +70,13 @@ def _leaves(node: np.ndarray, x: np.ndarray, label: np.ndarray, sizes: dict, tre
     return (mix(base + mix(code + U64(tree << 40) + U64(x.shape[1] << 48))) >> U64(1)).astype(np.int64)
 
 
+def _deep(nodes: DataFrame, leaf: int) -> DataFrame:
+    """``nodes`` with ``depth``: the hyperplanes that leave about ``leaf`` nodes of its label together."""
+    size = nodes.groupBy(F.col("label").alias("label2")).agg(F.count("*").alias("size"))
+    depth = F.least(F.greatest(F.ceil(F.log2(F.col("size") / leaf)), F.lit(0)), F.lit(32)).cast("int")
+    return nodes.join(size, F.col("label") == F.col("label2")).select("*", depth.alias("depth")).drop("label2", "size")
+
+
 def hash_label(label: str) -> int:
     import zlib
 
@@ -104,25 +114,29 @@ def _list_batch(rows):
     return _rows(rows, ["node", "near", "sims"], [pa.int64(), pa.binary(), pa.binary()])
 
 
-def _start(nodes: DataFrame, sizes: dict, k: int, trees: range, leaf: int) -> DataFrame:
+def _start(nodes: DataFrame, k: int, trees: range, leaf: int) -> DataFrame:
     def deal(batches):
         for b in batches:
-            label = b.column("label").to_pylist()
+            label, depth = b.column("label").to_pylist(), b.column("depth").to_numpy()
             dims = np.array([len(v) for v in b.column("vec")])
             for dim in np.unique(dims):
                 pick = np.flatnonzero(dims == dim)
                 part = b.take(pa.array(pick))
                 x = _matrix(part.column("vec"))
                 for t in trees:
-                    at = _leaves(None, x, [label[i] for i in pick], sizes, t, leaf)
+                    at = _leaves(x, [label[i] for i in pick], depth[pick], t)
                     yield pa.RecordBatch.from_arrays([pa.array(at), part.column("node"), part.column("own"), part.column("vec")], ["leaf", "node", "own", "vec"])
 
     def within(batches):
         for g in grouped(batches, "leaf"):
             yield _list_batch(list(_lists(g.column("node").to_numpy(), _matrix(g.column("vec")), g.column("own").to_numpy(), k)))
 
-    dealt = nodes.select("node", "own", "label", "vec").mapInArrow(deal, "leaf long, node long, own long, vec array<double>")
-    return _merge(dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(within, _LIST), k)
+    dealt = _deep(nodes, leaf).select("node", "own", "label", "depth", "vec").mapInArrow(deal, "leaf long, node long, own long, vec array<double>")
+    # No hyperplane may part a large group of like vectors: such a leaf is dealt into parts by a hash of the node.
+    large = durable(dealt.groupBy(F.col("leaf").alias("leaf2")).agg(F.count("*").alias("size")).where(F.col("size") > 4 * leaf), "nn-large")
+    part = F.pmod(F.xxhash64("node", "leaf"), F.ceil(F.col("size") / (2 * leaf)))
+    split = dealt.join(large, F.col("leaf") == F.col("leaf2"), "left").select(F.when(F.col("size").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", part)).alias("leaf"), "node", "own", "vec")
+    return _merge(split.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(within, _LIST), k)
 
 
 def _merge(lists: DataFrame, k: int) -> DataFrame:
@@ -153,35 +167,34 @@ def _refine(nodes: DataFrame, lists: DataFrame, k: int, turn: int) -> DataFrame:
     def meet(batches):
         for g in grouped(batches, "centre"):
             node, at = np.unique(g.column("member").to_numpy(), return_index=True)
-            if len(node) > GATHER:  # a hub brings together a different sample each round; step 4 settles its links exactly
-                order = np.argsort(mix(node.view(np.uint64) + U64(turn << 32)))[:GATHER]
-                node, at = node[order], at[order]
-            x = _matrix(g.column("vec").combine_chunks().take(pa.array(at)))
-            yield _list_batch(list(_lists(node, x, g.column("own").to_numpy()[at], k)))
+            # A hub's members meet in parts, other ones each round.
+            order = np.argsort(mix(node.view(np.uint64) + U64(turn << 32)), kind="stable") if len(node) > GATHER else np.arange(len(node))
+            node, own, vec = node[order], g.column("own").to_numpy()[at][order], g.column("vec").combine_chunks().take(pa.array(at[order]))
+            cut = -(-len(node) // GATHER)
+            for i in range(cut):
+                a, b = len(node) * i // cut, len(node) * (i + 1) // cut
+                yield _list_batch(list(_lists(node[a:b], _matrix(vec.slice(a, b - a)), own[a:b], k)))
 
     met = lists.mapInArrow(pairs, "centre long, member long").join(nodes.select(F.col("node").alias("member"), "own", "vec"), "member").select("centre", "member", "own", "vec")
     new = met.repartition("centre").sortWithinPartitions("centre").mapInArrow(meet, _LIST)
     return _merge(lists.union(new), k)
 
 
-def _search(nodes: DataFrame, sizes: dict, k: int, trees: range, leaf: int, rounds: range) -> DataFrame:
-    """The lists of the k nearest nodes of another ``own``."""
-    lists = durable(_start(nodes, sizes, k, trees, leaf), "nn-lists")
-    total = lists.agg(F.sum(F.octet_length("sims"))).first()[0] or 0
-    for r in rounds if total else ():
-        better = durable(_refine(nodes, lists, k, r), "nn-lists")
-        change = better.select("node", "near").exceptAll(lists.select("node", "near")).count()
+def _search(nodes: DataFrame, k: int, trees: range, leaf: int, turn: int, rounds: int | None) -> DataFrame:
+    """The lists of the k nearest nodes of another ``own``: rounds until one changes at most a hundredth of the lists."""
+    lists = durable(_start(nodes, k, trees, leaf), "nn-lists")
+    total = lists.agg(F.count(F.when(F.octet_length("sims") > 0, 1))).first()[0]
+    for r in (count_up() if rounds is None else range(rounds)) if total else ():
+        better = durable(_refine(nodes, lists, k, (turn << 10) + r), "nn-lists")
+        before = lists.select(F.col("node").alias("node2"), F.col("near").alias("near2"))
+        change = better.join(before, F.col("node") == F.col("node2"), "left").where(~F.col("near").eqNullSafe(F.col("near2"))).count()
         discard(lists)
         lists = better
-        if change <= 0.01 * sum(sizes.values()):
+        if change <= 0.01 * total:
             break
     return lists
 
 
-def _sizes(nodes: DataFrame) -> dict:
-    return {r.label: r["count"] for r in nodes.groupBy("label").count().orderBy(F.desc("count")).limit(100_000).collect()}  # the largest labels; others fit a leaf or two
-
-
 def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
     """The nodes whose k neighbours are all links."""
 
@@ -193,7 +206,7 @@ def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
     return lists.select("node", "sims").mapInArrow(run, "node long")
 
 
-def _enlarge(nodes: DataFrame, lists: DataFrame, edges: DataFrame, threshold: float, k: int, trees: range, leaf: int, rounds: range) -> tuple[DataFrame, DataFrame]:
+def _enlarge(nodes: DataFrame, lists: DataFrame, edges: DataFrame, threshold: float, k: int, trees: range, leaf: int, turn: int, rounds: int | None) -> tuple[DataFrame, DataFrame]:
     """The edges, joined by those that saturated lists hid, and the components."""
     full = durable(nodes.drop("own").join(_saturated(lists, k, threshold), "node"), "nn-full")
     while True:
@@ -201,10 +214,9 @@ def _enlarge(nodes: DataFrame, lists: DataFrame, edges: DataFrame, threshold: fl
         placed = full.join(found.withColumnRenamed("component", "own"), "node")
         several = placed.groupBy("label").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select(F.col("label").alias("label2"))
         open_ = durable(placed.join(several, F.col("label") == F.col("label2"), "left_semi"), "nn-open")
-        sizes = _sizes(open_)
-        if not sizes:
+        if open_.isEmpty():
             return edges, found
-        apart = _search(open_, sizes, k, trees, leaf, rounds)
+        apart = _search(open_, k, trees, leaf, turn, rounds)
         new = durable(_edges(apart, threshold), "nn-edges")
         discard(open_, apart)
         if new.isEmpty():
@@ -277,29 +289,28 @@ def _count(nodes: DataFrame, found: DataFrame, threshold: float, tile: int) -> D
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding", threshold: float = THRESHOLD, k: int = K, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, audit: int = AUDIT, tile: int = TILE, attempts: int = 4) -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept (the id is its component's)."""
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding", threshold: float = THRESHOLD, k: int = K, trees: int = TREES, leaf: int = LEAF, rounds: int | None = None, audit: int = AUDIT, tile: int = TILE) -> DataFrame:
+    """One row per vector: id, n_links, component_id, kept (the id is its component's), audit_recall (the share of the links
+    that the audits saw whose two ends the search had joined; null if they saw none; links it missed were added)."""
     clean = _nodes(vectors, id_col, label_col, vec_col)
     distinct = clean.distinct().groupBy("label", "vec").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     # The same id may stand on several vectors; a node is named by its vector then.
     nodes = durable(distinct.select(F.xxhash64("label", "vec").alias("node"), "label", "vec", "least", "n"), "nn-nodes")
     nodes = nodes.withColumn("own", F.col("node"))
-    sizes = _sizes(nodes)
-    edges, turn = None, 0
-    while True:
-        dealt, steps = range(turn * trees, (turn + 1) * trees), range(turn * rounds, (turn + 1) * rounds)
-        lists = _search(nodes, sizes, k, dealt, leaf, steps)
+    edges, turn, links, lost = None, 0, 0, 0
+    while True:  # each turn that goes on has joined components, so the turns end
+        dealt = range(turn * trees, (turn + 1) * trees)
+        lists = _search(nodes, k, dealt, leaf, turn, rounds)
         new = _edges(lists, threshold)
         edges = durable(new if edges is None else new.union(edges), "nn-edges")
-        edges, found = _enlarge(nodes, lists, edges, threshold, k, dealt, leaf, steps)
-        missing, links, lost = _audit(nodes, found, threshold, audit, turn)
-        turn += 1
-        if not lost or turn >= attempts:
+        edges, found = _enlarge(nodes, lists, edges, threshold, k, dealt, leaf, turn, rounds)
+        missing, seen, missed = _audit(nodes, found, threshold, audit, turn)
+        links, lost, turn = links + seen, lost + missed, turn + 1
+        if not missed:
             break
         edges = durable(edges.union(missing), "nn-edges")
         k *= 2
-    if lost:
-        found = durable(components(edges.union(missing), tag="nn-cc"), "nn-found")
+    recall = F.lit(1 - lost / links if links else None).cast("double")
     counts = durable(_count(nodes, found, threshold, tile), "nn-counts")
     placed = durable(nodes.select("node", "least", "n").join(found, "node", "left").select("node", "least", "n", F.coalesce("component", "node").alias("root")), "nn-roots")
     low = durable(placed.groupBy("root").agg(F.min("least").alias("component_id")), "nn-low")
@@ -307,4 +318,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str =
     where = durable(by_root.join(counts, "node", "left").select(F.col("node").alias("node2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id"), "nn-where")
     keyed = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.transform(vec_col, lambda v: v.cast("double") + F.lit(0.0)).alias("vec")).select("id", F.when(F.col("id").isNotNull() & F.col("label").isNotNull(), F.xxhash64("label", "vec")).alias("node"))
     own = F.coalesce("component_id", "id")
-    return keyed.join(where, F.col("node") == F.col("node2"), "left").select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.cast("long").alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    return keyed.join(where, F.col("node") == F.col("node2"), "left").select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.cast("long").alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"), recall.alias("audit_recall"))

@@ -84,3 +84,31 @@ def test_full_lists_hide_no_link(spark):
     assert {n for n, _ in want.values()} == {23, 35} and len({c for _, c in want.values()}) == 12
     for r in nndescent.near_duplicates(df, audit=0).collect():
         assert (r.n_links, r.component_id) == want[r.vec_id], r
+
+
+def test_the_search_itself_finds_links_in_large_labels(spark):
+    """5,400 nodes in labels of many leaves, an audit far too small to repair a bad search: recall by comparison with all."""
+    rnd = np.random.default_rng(11)
+    x = rnd.normal(size=(5000, 24))
+    near = x[:400] + rnd.normal(size=(400, 24)) * 0.11 * np.linalg.norm(x[:400], axis=1, keepdims=True) / np.sqrt(24)
+    x = np.vstack([x, near])
+    label = np.where(np.arange(len(x)) % 5000 % 3 == 0, "a", "b")
+    df = spark.createDataFrame([(i, str(n), v.tolist()) for i, (n, v) in enumerate(zip(label, x, strict=True))], "vec_id long, label string, embedding array<double>")
+    got = {r.vec_id: r for r in nndescent.near_duplicates(df, audit=60).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98) & (label[:, None] == label[None])
+    i, j = np.nonzero(np.triu(links, 1))
+    assert len(i) > 200
+    found = np.array([got[a].component_id == got[b].component_id for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    assert found.mean() >= 0.99
+    assert all(0.9 <= r.audit_recall <= 1 for r in got.values() if r.audit_recall is not None)
+
+
+def test_a_large_group_of_like_vectors_is_dealt_in_parts(spark):
+    rnd = np.random.default_rng(3)
+    x = np.vstack([rnd.normal(size=16) + rnd.normal(size=(700, 16)) * 0.02, rnd.normal(size=(60, 16))])
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(df, leaf=16, audit=5, tile=100).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = (u @ u.T >= 0.98).sum(1) - 1
+    assert [got[i][0] for i in range(len(x))] == n.tolist() and {got[i][1] for i in range(700)} == {0}
