@@ -149,8 +149,9 @@ def bind(encoded: DataFrame, answers: DataFrame, top: np.ndarray, shards: int) -
     return both.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(run, "block long, ids binary, held binary, first binary, local binary, counts binary, syms binary")
 
 
-def bigrams(bound: DataFrame) -> np.ndarray:
-    """Counts of neighbouring symbols over all training documents; the end mark stands before each first word."""
+def bigrams(bound: DataFrame, fan: int = 256) -> np.ndarray:
+    """Counts of neighbouring symbols over all training documents; the end mark stands before each first word. Tasks'
+    tables are added up by parts, ``fan`` of them at a time, so that no task gathers those of all others."""
     size, end = TOP + BANDS + 1, TOP + BANDS
     rows_each = 16
 
@@ -167,17 +168,22 @@ def bigrams(bound: DataFrame) -> np.ndarray:
             part = at // (size * rows_each)
             heads = np.flatnonzero(np.r_[True, np.diff(part) != 0])
             cells, counts = np.split(at, heads[1:]), np.split(table[at], heads[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array([c.astype(np.int32).tobytes() for c in cells], pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary())], ["part", "cells", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), task_id())), pa.array(part[heads]), pa.array([c.astype(np.int32).tobytes() for c in cells], pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary())], ["task", "part", "cells", "counts"])
 
     def add(key, rows):
         cells, counts = (np.concatenate([np.frombuffer(x, k) for x in rows.column(c).to_pylist()]) for c, k in (("cells", np.int32), ("counts", np.int64)))
         uniq, inverse = np.unique(cells, return_inverse=True)
         total = np.bincount(inverse, weights=counts).astype(np.int64)
-        return pa.table({"cells": pa.array([uniq.tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    table = np.zeros(size * size, np.int64)
-    summed = bound.select("held", "first", "local", "syms").mapInArrow(run, "part long, cells binary, counts binary")
-    for r in summed.groupBy("part").applyInArrow(add, "cells binary, counts binary").collect():  # at most (TOP + BANDS + 1)**2 cells
+        task, part = (pa.array([k.as_py()], pa.int64()) for k in key)
+        return pa.table({"task": task, "part": part, "cells": pa.array([uniq.tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    table, schema = np.zeros(size * size, np.int64), "task long, part long, cells binary, counts binary"
+    summed = bound.select("held", "first", "local", "syms").mapInArrow(run, schema)
+    tasks = bound.rdd.getNumPartitions()
+    while tasks > 1:
+        summed = summed.withColumn("task", F.floor(F.col("task") / fan)).groupBy("task", "part").applyInArrow(add, schema)
+        tasks = -(-tasks // fan)
+    for r in summed.select("cells", "counts").collect():  # at most (TOP + BANDS + 1)**2 cells
         table[np.frombuffer(r.cells, np.int32)] = np.frombuffer(r.counts, np.int64)
     return table.reshape(size, size)
 
@@ -229,6 +235,26 @@ def exchange(n: np.ndarray, movable: int, classes: int = CLASSES, passes: int |
     return cls
 
 
+def transitions(pair: np.ndarray, n: np.ndarray, cls: np.ndarray, n_top: int) -> tuple[np.ndarray, np.ndarray]:
+    """log10 P(class | class before), smoothed, from the counts of class pairs; and how often each class occurs."""
+    k = len(pair)
+    live = np.zeros(k, bool)
+    live[cls[:n_top]] = True
+    live[cls[TOP : TOP + BANDS]] = (n.sum(0) > 0)[TOP : TOP + BANDS]
+    live[[cls[TOP], cls[TOP + BANDS]]] = True
+    prior = np.where(live, pair.sum(0) + 1, 0)
+    prior = prior / prior.sum()
+    with np.errstate(divide="ignore"):
+        return np.log10((pair + PRIOR * prior) / (pair.sum(1, keepdims=True) + PRIOR)), pair.sum(0)
+
+
+def emissions(sym: np.ndarray, counts: np.ndarray, in_class: np.ndarray, unknown: float, alone: int) -> np.ndarray:
+    """P(word | class) of words with these symbols and training counts, in classes that occur ``in_class`` times.
+    ``alone``: how many words of RARE are known."""
+    out = np.where(sym == TOP, np.where(counts > 0, (1 - unknown) / max(alone, 1), unknown), counts / np.maximum(in_class, 1))
+    return np.where(sym == TOP + BANDS, 1.0, out)
+
+
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, shard_words: int = 400_000) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
     ``held_out`` is a boolean column; documents for which it is true (not null) are kept out of training."""
@@ -237,7 +263,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     shards = int(max(24, n_bytes // 6 // shard_words))
     encoded = durable(encode(inner), "lm-blocks")
     answers = durable(count(encoded, shards), "lm-counts")
-    (n_words, n_train, n1, n2), top, _ = _facts(answers)
+    (n_words, n_train, n1, n2), top, top_counts = _facts(answers)
     bound = durable(bind(encoded, answers, top, shards), "lm-bound")
     discard(encoded, answers)
     n = bigrams(bound)
@@ -245,26 +271,17 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     k = int(cls.max()) + 1
     hot = np.zeros((len(n), k))
     hot[np.arange(len(n)), cls] = 1
-    pair = hot.T @ n @ hot
-    live = np.zeros(k, bool)
-    live[cls[: len(top)]] = True
-    live[cls[TOP : TOP + BANDS]] = (n.sum(0) > 0)[TOP : TOP + BANDS]
-    live[[cls[TOP], cls[TOP + BANDS]]] = True
-    prior = np.where(live, pair.sum(0) + 1, 0)
-    prior = prior / prior.sum()
-    step = (pair + PRIOR * prior) / (pair.sum(1, keepdims=True) + PRIOR)
-    with np.errstate(divide="ignore"):
-        step = np.log10(step)
-    in_class = pair.sum(0)
-    unknown = n1 / (n1 + 2 * n2) if n1 else 1.0
+    step, in_class = transitions(hot.T @ n @ hot, n, cls, len(top))
+    # Words counted once that are among the top words have a class of their own and no share of RARE.
+    alone = int(n1 - (top_counts == 1).sum())
+    unknown = float(n1 / (n1 + 2 * n2)) if alone else 1.0
 
     def run(batches):
         for batch in batches:
             for ids, held, first, local, counts, sym in zip(_column(batch, "ids", np.int64), _column(batch, "held", bool), _column(batch, "first", np.int64), _column(batch, "local", np.int32), _column(batch, "counts", np.int64), _column(batch, "syms", np.int16), strict=True):
                 base = np.log10((counts + 0.1) / (n_train + 0.1 * (n_words + 1)))
                 c = cls[sym]
-                emit = np.where(sym == TOP, np.where(counts > 0, (1 - unknown) / max(n1, 1), unknown), counts / np.maximum(in_class[c], 1))
-                emit[sym == TOP + BANDS] = 1.0
+                emit = emissions(sym, counts, in_class[c], unknown, alone)
                 tokens = c[local]
                 before = np.r_[cls[TOP + BANDS], tokens[:-1]]
                 log = step[before, tokens] + np.log10(np.maximum(emit, 1e-300))[local]

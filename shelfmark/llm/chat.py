@@ -6,16 +6,16 @@ speaker as ``assistant`` and every other speaker as a named ``user``; roles list
 marks, in characters of ``rendered``, what the speaker wrote with its end marker: the part
 that a training loss would count.
 
-A dialogue is cut into parts of ``part_turns`` turn numbers, so a conversation with very
-many turns never meets in one task; the parts of one perspective, joined in order of
-``part``, are its dialogue. Ordinary conversations are one part.
+A dialogue is rendered whole up to ``part_turns`` turn numbers; a longer one is cut into parts of that many, so a
+conversation that holds a third of all turns never meets in one task. The parts of one perspective, joined in order of
+``part``, are its dialogue.
 
 Defined cases: rows that repeat exactly (same conversation, turn, role and text) are one
 message; messages of the same turn follow by role, then text; a null turn sorts last, in a
 part of its own (null); a null role speaks as ``unknown``; a null text is empty; null
 conversation ids form one conversation; a conversation of context roles only has no
-perspective and no rows; markers inside a text are broken by a space, so that no text can
-pose as a marker. Other columns are ignored. An empty table gives an empty table.
+perspective and no rows; markers inside a text or a role are broken by a space and line ends in a role become
+spaces, so that neither can pose as a marker or a turn (roles that look alike after that are one speaker). Other columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,10 +23,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+OPEN, CLOSE, PART_TURNS = "<|im_start|>", "<|im_end|>", 1024
 
 
-def rotate_perspectives(conversations: DataFrame, context_roles: tuple[str, ...] = ("system",), part_turns: int = 64) -> DataFrame:
+def _safe(text):
+    return F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
+
+
+def rotate_perspectives(conversations: DataFrame, context_roles: tuple[str, ...] = ("system",), part_turns: int = PART_TURNS) -> DataFrame:
     """One row per conversation, part and perspective: conv_id, part, speaker, n_messages, rendered,
     spans array<struct<start int, end int>> (end exclusive)."""
     rows = conversations.select(
@@ -35,8 +39,8 @@ def rotate_perspectives(conversations: DataFrame, context_roles: tuple[str, ...]
         F.struct(
             F.col("turn").isNull().alias("late"),
             F.col("turn").alias("turn"),
-            F.coalesce(F.col("role"), F.lit("unknown")).alias("role"),
-            F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("<|im_"), F.lit("<| im_")).alias("text"),
+            _safe(F.translate(F.coalesce(F.col("role"), F.lit("unknown")), "\n\r", "  ")).alias("role"),
+            _safe(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
         ).alias("m"),
     )
     parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set("m")).alias("ms"))
@@ -73,7 +77,7 @@ def _render(context):
 #: The same rows in DuckDB, written from the rules above; spans as text ``start-end`` joined by commas.
 ORACLE_SQL = """
 WITH msg AS (
-  SELECT DISTINCT conv_id, CAST(floor(turn / 64.0) AS BIGINT) AS part, turn, coalesce(role, 'unknown') AS role,
+  SELECT DISTINCT conv_id, CAST(floor(turn / 1024.0) AS BIGINT) AS part, turn, replace(translate(coalesce(role, 'unknown'), chr(10) || chr(13), '  '), '<|im_', '<| im_') AS role,
          replace(coalesce(text, ''), '<|im_', '<| im_') AS text
   FROM conversations
 ), who AS (SELECT DISTINCT conv_id, role AS speaker FROM msg WHERE role <> 'system'),

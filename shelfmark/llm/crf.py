@@ -8,8 +8,8 @@ sequences are spliced from pieces of texts of different languages, so that the t
 languages switch. A text's language has the largest posterior mass over its words; its score is
 that mass divided by the number of words.
 
-Training uses a bounded sample: at most about ``per_language`` texts of each language, chosen by a hash of
-the id. Prediction takes every word of every text: exact forward-backward in chunks of words whose
+Training uses a bounded sample: at most about ``per_language`` whole texts of each language, chosen by a hash of
+the id, ``MOST_TEXTS`` and about ``MOST_BYTES`` over all; with very many languages fewer of each, and fewer feature buckets. Prediction takes every word of every text: exact forward-backward in chunks of words whose
 transfer matrices are chained, so a very long text costs memory and time in proportion to its length.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if no
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .kernel import NULL_ID, U64, blocks, buffers, hash_spans, ids_out, loads, longs, mix, words
 
-BUCKETS, GRAMS, CHUNK = 1 << 18, (1, 2, 3, 4, 5), 64
+BUCKETS, GRAMS, CHUNK, ROOM = 1 << 18, (1, 2, 3, 4, 5), 64, 1 << 24
 PER_LANGUAGE, STEPS, RATE, RIDGE = 150, 30, 0.3, 1e-4
+#: The sample to learn from: so many texts and bytes at most over all languages (a twentieth of it in one text).
+MOST_TEXTS, MOST_BYTES = 30_000, 40_000_000
 #: Bytes of text that are labelled together: forward-backward holds some ten numbers for each word and language.
 PREDICT_BYTES = 2_500_000
 #: Separators: every ASCII byte that is no letter.
@@ -50,7 +52,7 @@ def _tokens(column):
     return w, hash_spans(w.data, w.starts, w.ends, seed=11)
 
 
-def features(w, pick: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(w, pick: np.ndarray, h: np.ndarray, most: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature buckets of the picked words, back to back; where each word's begin; and the value of a feature of each word."""
     size = (w.ends - w.starts)[pick]
     total = size + 2
@@ -62,11 +64,11 @@ def features(w, pick: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = loads(text)[: len(text)]
     room = np.repeat(ends, total) - np.arange(len(text))
     word = np.repeat(np.arange(len(pick)), total)
-    buckets, owner = [(mix(h[pick] + U64(77)) % U64(BUCKETS)).astype(np.int32)], [np.arange(len(pick))]
+    buckets, owner = [(mix(h[pick] + U64(77)) % U64(most)).astype(np.int32)], [np.arange(len(pick))]
     for n in GRAMS:
         ok = room >= n
         code = (at[ok] & U64((1 << 8 * n) - 1)) + U64(n << 56)
-        buckets.append((mix(code) % U64(BUCKETS)).astype(np.int32))
+        buckets.append((mix(code) % U64(most)).astype(np.int32))
         owner.append(word[ok])
     b, o = np.concatenate(buckets), np.concatenate(owner)
     by = np.argsort(o, kind="stable")
@@ -86,29 +88,40 @@ def emissions(weight: np.ndarray, buckets, begin, value) -> np.ndarray:
 
 # -- forward-backward ----------------------------------------------------------------
 def posteriors(score: np.ndarray, first: np.ndarray, step: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """P(label of word | all words) for each word of sequences that lie back to back (``first``: their bounds)."""
+    """P(label of word | all words) for each word of sequences that lie back to back (``first``: their bounds).
+    Sequences are taken in slices of about ``ROOM`` numbers; with many labels chunks are longer, as each has a matrix."""
+    n, k = np.diff(first), score.shape[1]
+    if not len(score):
+        return score
+    chunk = CHUNK if k <= 16 else int(min(n.max(), max(CHUNK, k * k // 4)))
+    room = np.cumsum(-(-n // chunk) * (k * k + chunk * k)) // ROOM
+    cuts = np.r_[0, np.flatnonzero(np.diff(room)) + 1, len(n)]
+    return np.concatenate([_posteriors(score[first[a] : first[b]], first[a : b + 1] - first[a], step, start, chunk) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _posteriors(score: np.ndarray, first: np.ndarray, step: np.ndarray, start: np.ndarray, chunk: int) -> np.ndarray:
     n, k = np.diff(first), score.shape[1]
     if not len(score):
         return score
     live = np.flatnonzero(n)
-    chunks = -(-n[live] // CHUNK)
+    chunks = -(-n[live] // chunk)
     row0 = np.cumsum(chunks) - chunks
     rows = int(chunks.sum())
     seq = np.repeat(np.arange(len(live)), chunks)
-    begin = first[:-1][live][seq] + (np.arange(rows) - row0[seq]) * CHUNK
-    length = np.minimum(CHUNK, first[1:][live][seq] - begin)
+    begin = first[:-1][live][seq] + (np.arange(rows) - row0[seq]) * chunk
+    length = np.minimum(chunk, first[1:][live][seq] - begin)
     e = np.exp(score - score.max(1, keepdims=True))
     t = np.exp(step - step.max())
     s = np.exp(start - start.max())
     head = np.zeros(rows, bool)
     head[row0] = True
-    pot = np.zeros((rows, CHUNK, k))
-    at = np.arange(CHUNK)
+    pot = np.zeros((rows, chunk, k))
+    at = np.arange(chunk)
     real = at < length[:, None]
     pot[real] = e[(begin[:, None] + at)[real]]
     # Transfer matrix of each chunk. A sequence's first word takes the start potentials in place of a transition.
     P = np.broadcast_to(np.eye(k), (rows, k, k)).copy()
-    for i in range(CHUNK):
+    for i in range(chunk):
         go = np.flatnonzero(real[:, i])
         Q = P[go]
         M = Q @ t
@@ -126,9 +139,9 @@ def posteriors(score: np.ndarray, first: np.ndarray, step: np.ndarray, start: np
         if len(back):
             x = np.einsum("rij,rj->ri", P[back], after[back])
             after[back - 1] = x / x.max(1, keepdims=True)
-    alpha = np.zeros((rows, CHUNK, k))
+    alpha = np.zeros((rows, chunk, k))
     x = before
-    for i in range(CHUNK):
+    for i in range(chunk):
         x = x @ t
         if i == 0:
             x[head] = s
@@ -137,7 +150,7 @@ def posteriors(score: np.ndarray, first: np.ndarray, step: np.ndarray, start: np
         alpha[:, i] = x
     out = np.empty_like(score)
     y = after
-    for i in range(CHUNK - 1, -1, -1):
+    for i in range(chunk - 1, -1, -1):
         go = real[:, i]
         p = alpha[go, i] * y[go]
         out[(begin + i)[go]] = p / p.sum(1, keepdims=True)
@@ -146,6 +159,11 @@ def posteriors(score: np.ndarray, first: np.ndarray, step: np.ndarray, start: np
     return out
 
 
+def buckets_for(languages: int) -> int:
+    """Feature buckets: fewer if there are many languages, so that the weights stay within 2^23 numbers."""
+    return max(1 << 10, min(BUCKETS, 1 << (23 - max(languages, 1).bit_length())))
+
+
 # -- training ------------------------------------------------------------------------
 def train(texts: list[str], langs: list[str], steps: int = STEPS) -> Model:
     names = sorted(set(langs))
@@ -165,8 +183,9 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS) -> Model:
     bounds = np.unique(np.r_[0, np.arange(200, len(order), 200), len(order)])
     h, label = h[order], label[order]
     _, pick, inverse = np.unique(h, return_index=True, return_inverse=True)
-    buckets, begin, value = features(w, order[pick], _scatter(h, order, len(w.starts)))
-    model = Model(names, np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k))
+    size = buckets_for(k)
+    buckets, begin, value = features(w, order[pick], _scatter(h, order, len(w.starts)), size)
+    model = Model(names, np.zeros((size, k)), np.zeros((k, k)), np.zeros(k))
     if not len(order):
         return model
     gold = np.eye(k)[label]
@@ -218,8 +237,9 @@ def _pairs(score, p, bounds, model, inner) -> np.ndarray:
         x = (bwd[at + 1] * e[at + 1]) @ t.T
         bwd[at] = x / x.sum(1, keepdims=True)
     to = np.flatnonzero(inner)
-    joint = fwd[to - 1][:, :, None] * t * (e[to] * bwd[to])[:, None, :]
-    return (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+    right = e[to] * bwd[to]
+    mass = ((fwd[to - 1] @ t) * right).sum(1, keepdims=True)
+    return t * ((fwd[to - 1] / mass).T @ right)
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, steps: int = STEPS) -> Model:
@@ -228,16 +248,19 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
     if not counts:
         return Model([], np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0))
-    if len(counts) > 500:
-        raise ValueError(f"{len(counts)} languages; at most 500 can be learned")
+    per_language = max(1, min(per_language, MOST_TEXTS // len(counts)))
     share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 1.5 * per_language / n))))
     lang = F.col(lang_col).cast("string")
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30))
-    chosen = rows.where(draw < F.element_at(share, lang) * (1 << 30)).select(draw.alias("draw"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    chosen = rows.where((draw < F.element_at(share, lang) * (1 << 30)) & (F.octet_length(text) <= MOST_BYTES // 20)).select(draw.alias("draw"), lang.alias("lang"), text.alias("text"))
     got: dict[str, list] = {}
-    for r in chosen.limit(3 * per_language * len(counts) + 100).toLocalIterator():
-        got.setdefault(r.lang, []).append((r.draw, r.text))
-    sample = [(lang, t) for lang, rs in sorted(got.items()) for _, t in sorted(rs)[:per_language]]
+    room = dict.fromkeys(counts, MOST_BYTES // len(counts))
+    for r in chosen.orderBy("draw", "lang", "text").limit(3 * per_language * len(counts) + 100).toLocalIterator():
+        if len(got.setdefault(r.lang, [])) < per_language and (not got[r.lang] or room[r.lang] > 0):
+            got[r.lang].append(r.text)
+            room[r.lang] -= len(r.text)
+    sample = [(lang, t) for lang, ts in sorted(got.items()) for t in ts]
     return train([t for _, t in sample], [lang for lang, _ in sample], steps)
 
 
@@ -257,7 +280,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             if mdl.langs:
                 w, h = _tokens(text)
                 _, pick, inverse = np.unique(h, return_index=True, return_inverse=True)
-                e = emissions(mdl.weight, *features(w, pick, h))
+                e = emissions(mdl.weight, *features(w, pick, h, len(mdl.weight)))
                 p = posteriors(e[inverse], w.first, mdl.step, mdl.start)
                 n = w.counts
                 some = np.flatnonzero(n)

@@ -91,3 +91,56 @@ def test_exchange_goes_on_until_it_settles():
     best = likelihood(n, got)
     assert all(likelihood(n, np.r_[got[:w], b, got[w + 1 :]]) <= best + 1e-6 for w in range(120) for b in range(12))
     assert best > likelihood(n, brown.exchange(n, 120, 12, passes=6)) + 1e-6
+
+
+def test_score_matches_brute_force_and_probabilities_sum_to_one(spark):
+    """The model from its definition: symbols, classes of the tested exchange, smoothed transitions, emissions."""
+    texts = [(i, t) for i, t in rows() if i is None or i < 60]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in brown.score_texts(df, F.crc32(F.col("doc_id").cast("string")) % 10 == 0, classes=6, shard_words=50).collect()}
+    train = [tokens(t) for i, t in texts if not held(i)]
+    counts = Counter(w for ts in train for w in ts)
+    known = [w for w in counts if w is not None]
+    code = brown.hash_spans
+    import pyarrow as pa
+
+    w = brown.words(*brown.buffers(pa.array([" ".join(known)])))
+    key = dict(zip(known, brown.np.maximum(code(w.data, w.starts, w.ends, seed=5), brown.U64(1)).view(np.int64).tolist(), strict=True))
+    top = sorted(known, key=lambda x: (-counts[x], key[x]))[: brown.TOP]
+    sym = {x: i for i, x in enumerate(top)} | {None: brown.TOP + brown.BANDS}
+    assert len(known) <= brown.TOP  # here every known word is on the list, also those counted once
+    n = np.zeros((brown.TOP + brown.BANDS + 1,) * 2, np.int64)
+    for ts in train:
+        for a, b in zip([None, *ts], ts, strict=False):
+            n[sym[a], sym[b]] += 1
+    cls = brown.exchange(n, len(top), 6)
+    k = int(cls.max()) + 1
+    pair = np.zeros((k, k))
+    np.add.at(pair, (cls[:, None].repeat(len(n), 1), cls[None].repeat(len(n), 0)), n)
+    live = {*cls[: len(top)], cls[brown.TOP], cls[brown.TOP + brown.BANDS]}
+    prior = np.array([pair[:, c].sum() + 1 if c in live else 0.0 for c in range(k)])
+    prior /= prior.sum()
+    step = (pair + brown.PRIOR * prior) / (pair.sum(1, keepdims=True) + brown.PRIOR)
+    unknown = cls[brown.TOP]
+    for i, t in texts:
+        want, before = 0.0, cls[sym[None]]
+        for x in tokens(t):
+            c = cls[sym[x]] if x in sym else unknown
+            emit = 1.0 if x is None or c == unknown else counts[x] / pair[:, c].sum()
+            want += math.log10(step[before, c] * emit)
+            before = c
+        assert got[i].score == pytest.approx(want, abs=1e-8), i
+    for before in live:  # over all known words, the end mark and one unknown word
+        total = sum(step[before, cls[sym[x]]] * counts[x] / pair[:, cls[sym[x]]].sum() for x in top) + step[before, cls[sym[None]]] + step[before, unknown]
+        assert total == pytest.approx(1)
+
+
+def test_emissions_of_rare_words_sum_to_one():
+    sym = np.full(7, brown.TOP)
+    assert brown.emissions(sym, np.array([1] * 6 + [0]), np.ones(7), 0.25, 6).sum() == pytest.approx(1)
+
+
+def test_very_long_text(spark):
+    long = "word and " * 200_000
+    got = brown.score_texts(spark.createDataFrame([(1, long), (2, "word")], "doc_id long, text string"), F.lit(False)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {1: 400_001, 2: 2} and all(r.score < 0 for r in got)

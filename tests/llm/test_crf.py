@@ -52,3 +52,71 @@ def test_nothing_to_learn_and_empty(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert crf.identify(df, crf.fit(df, F.lit(True))).first().lang_pred == "und"
     assert crf.identify(df.limit(0), crf.fit(df.limit(0), F.lit(True))).count() == 0
+
+
+def test_expected_pairs_match_enumeration_and_the_slope_of_the_likelihood():
+    rnd = np.random.default_rng(4)
+    bounds, k = np.array([0, 4, 5, 9]), 3
+    score, y = rnd.normal(size=(9, k)), rnd.integers(0, k, 9)
+    model = crf.Model(["a", "b", "c"], np.zeros((1, k)), rnd.normal(size=(k, k)), rnd.normal(size=k))
+    inner = np.ones(9, bool)
+    inner[bounds[:-1]] = False
+
+    def paths(a, b, step):
+        for c in itertools.product(range(k), repeat=b - a):
+            yield c, np.exp(model.start[c[0]] + sum(score[a + i, x] for i, x in enumerate(c)) + sum(step[x, z] for x, z in itertools.pairwise(c)))
+
+    def likelihood(step):
+        out = 0.0
+        for a, b in itertools.pairwise(bounds):
+            all_ = dict(paths(a, b, step))
+            out += np.log(all_[tuple(y[a:b])] / sum(all_.values()))
+        return out
+
+    want = np.zeros((k, k))
+    for a, b in itertools.pairwise(bounds):
+        total = sum(p for _, p in paths(a, b, model.step))
+        for c, p in paths(a, b, model.step):
+            for x, z in itertools.pairwise(c):
+                want[x, z] += p / total
+    post = crf.posteriors(score, bounds, model.step, model.start)
+    got = crf._pairs(score, post, bounds, model, inner)
+    assert np.allclose(got, want)
+    gold = np.zeros((k, k))
+    np.add.at(gold, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
+    for x in range(k):
+        for z in range(k):
+            up, down = model.step.copy(), model.step.copy()
+            up[x, z] += 1e-5
+            down[x, z] -= 1e-5
+            assert (likelihood(up) - likelihood(down)) / 2e-5 == pytest.approx((gold - got)[x, z], abs=1e-5)
+
+
+def test_features_and_emissions_match_brute_force():
+    import pyarrow as pa
+
+    w, h = crf._tokens(pa.array(["Ab éc x"]))
+    buckets, begin, value = crf.features(w, np.arange(3), h)
+    weight = np.random.default_rng(0).normal(size=(crf.BUCKETS, 2))
+    got = crf.emissions(weight, buckets, begin, value)
+    code = lambda b: int(crf.mix(np.array([int.from_bytes(b, "little") + (len(b) << 56)], np.uint64))[0] % crf.BUCKETS)
+    for i, word in enumerate(["ab", "éc", "x"]):
+        marked = b"\x01" + word.encode() + b"\x02"
+        grams = [marked[a : a + n] for n in crf.GRAMS for a in range(len(marked) - n + 1)]
+        own = [int(crf.mix(h[i : i + 1] + np.uint64(77))[0] % crf.BUCKETS), *map(code, grams)]
+        assert np.allclose(got[i], weight[own].sum(0) / np.sqrt(len(own)))
+
+
+def test_many_languages_are_no_reason_to_refuse(spark):
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)}word " * 4, f"l{i:03}") for i in range(520)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf.fit(df, F.lit(True), steps=2)
+    assert len(model.langs) == 520 and model.weight.size <= 1 << 23
+    got = {r.doc_id: r.lang_pred for r in crf.identify(df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 260
+
+
+def test_repeated_rows_and_ties(spark):
+    df = spark.createDataFrame([(1, "abc", "b"), (1, "abc", "b"), (2, "abc", "a"), (2, "abc", "a")], "doc_id long, text string, lang string")
+    got = crf.identify(df, crf.fit(df, F.lit(True))).collect()
+    assert len(got) == 4 and len({(r.lang_pred, r.score) for r in got}) == 1
