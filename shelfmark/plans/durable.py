@@ -2,20 +2,24 @@
 
 ``durable`` writes a frame as Parquet under the folder that the cluster names in
 ``spark.checkpoint.dir`` and reads it back, which cuts the lineage and gives the
-planner real sizes. Only where that setting is absent (tests, a laptop) does it
+planner real sizes. Only where that setting is absent and the master is local (tests, a laptop) does it
 choose a folder of its own.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: dict[str, str] = {}
 _LEFT: list[tuple[SparkSession, str]] = []
 
 
@@ -24,8 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="shelfmark-")
+        atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
     return f"file://{_OWN['dir']}"
 
 
@@ -64,15 +71,29 @@ def _delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _sweep() -> None:
     for spark, path in _LEFT:
-        try:
+        if spark.sparkContext._jsc is None:  # stopped already
+            continue
+        with contextlib.suppress(Exception):  # one folder that cannot be deleted does not keep the others
             _delete(spark, path)
-        except Exception:  # the session may be gone already
-            return
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver found it."""
+    """Let Python workers import this package: by path where they run on this machine, else as an archive that Spark sends them."""
+    sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        env = sc.environment
+        if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    elif _SHIPPED.get("to") != sc.applicationId:
+        folder = tempfile.mkdtemp(prefix="shelfmark-code-")  # the driver's; Spark copies the archive from here
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, "shelfmark.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for top, _, names in os.walk(os.path.join(root, "shelfmark")):
+                for name in names:
+                    if name.endswith(".py"):
+                        at = os.path.join(top, name)
+                        out.write(at, os.path.relpath(at, root))
+        sc.addPyFile(path)
+        _SHIPPED["to"] = sc.applicationId
