@@ -135,6 +135,16 @@ def stems_within(words: Column) -> Column:
     return run(F.filter(words, lambda w: ~F.array_contains(stop_array(), w)))
 
 
+def stem_of_each(words: Column) -> Column:
+    """The stem of each word of an array, in place; a stop word has an empty one."""
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([None if ws is None else ["" if w in STOP_WORDS else stem(w) for w in ws] for ws in lists.to_pylist()], pa.list_(pa.string()))
+
+    return run(words)
+
+
 def stop_array():
     return F.array(*(F.lit(w) for w in STOP_WORDS))
 

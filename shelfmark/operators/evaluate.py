@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.stem import is_stop
+from ..functions.stem import is_stop, stem_of_each
 from .catalog import Catalog, top
-from .retrieve import stems_of
+from .retrieve import rarest, stems_of
 from .stats import quantiles, wilson
 
 
@@ -40,18 +40,42 @@ def hit_rates(hits: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 3, 10))
 
 
 def full_text_baseline(catalog: Catalog, queries: DataFrame, lim: int = 50) -> DataFrame:
-    """Plain stemmed AND search: qid, id, pos. Rank is the share of a document's stems that the query names (a documented
-    stand-in for a term-frequency rank), one row per lower-cased name."""
+    """Plain stemmed AND search with a term-frequency and proximity rank: qid, id, pos, score; one row per lower-cased name.
+
+    One term: a tenth of the sum of 1/j^2 over its occurrences, over pi^2/6. Several: for each pair of terms and of their
+    places, at distance d, a weight 0.1 / sqrt(1.005 + 0.05 e^(d/1.5 - 2)); the rank is 1 minus the product of 1 - weight."""
     q = queries.select("qid", F.filter(tx.query_tokens(F.col("q")), lambda t: ~t.isin(*_stops())).alias("kept")).where(F.size("kept") > 0)
     terms = stems_of(q).select("qid", F.col("stem").alias("term")).distinct()
-    needed = terms.groupBy("qid").agg(F.count("*").alias("needed"))
-    hits = terms.join(catalog.postings_stem, "term").groupBy("qid", "id").agg(F.count("*").alias("had")).join(needed, "qid").where("had = needed")
-    rows = hits.join(catalog.documents.select("id", "name", "stems"), "id").withColumn("score", F.col("needed") / F.size("stems"))
+    counts = catalog.words.groupBy(F.col("stem").alias("term")).agg(F.max("match_count").alias("rows"))
+    hits = rarest(terms, counts).join(catalog.postings_stem, "term")
+    rows = hits.join(catalog.documents.select("id", "name", "other_names", "stems"), "id").where(F.size(F.array_except("all_terms", "stems")) == 0)
+    text = tx.tokens(F.concat_ws(" ", "name", "other_names"))
+    places = F.transform(F.array_sort("all_terms"), lambda t: F.filter(F.transform("order", lambda x, i: F.when(x == t, i + 1)), lambda i: i.isNotNull()))
+    placed = rows.withColumn("order", stem_of_each(text)).withColumn("places", places)
     order = [F.col("score").desc(), F.col("name"), F.col("id")]
-    best = top(rows.withColumn("key", F.lower("name")), ["qid", "key"], order, 1)
+    scored = placed.select("qid", "id", "name", _text_rank().cast("float").alias("score"), F.lower("name").alias("key"))
+    best = top(scored, ["qid", "key"], [F.col("score").desc(), F.col("id")], 1)
     return best.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("pos") <= lim).select("qid", "id", "pos", "score")
 
 
+def _text_rank() -> Column:
+    """The rank of ``places``, an array of the ordered places of each term."""
+    alone = F.aggregate(F.transform(F.element_at("places", 1), lambda _, i: 0.1 / F.pow(i + 1, F.lit(2))), F.lit(0.0), lambda s, x: s + x) / 1.64493406685
+
+    def weight(d):
+        return F.when(d > 100, F.sqrt(F.lit(0.01 * 1e-30))).otherwise(0.1 / F.sqrt(1.005 + 0.05 * F.exp(d / 1.5 - 2)))
+
+    def pair(a, b):
+        each = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(x - y))))
+        return F.aggregate(F.filter(each, lambda d: d > 0), F.lit(1.0), lambda m, d: m * (1 - weight(d)))
+
+    def before(a, i):
+        return F.aggregate(F.slice("places", 1, i), F.lit(1.0), lambda m, b: m * pair(a, b))
+
+    several = F.aggregate(F.zip_with("places", F.sequence(F.lit(0), F.size("places") - 1), lambda a, i: F.struct(a.alias("a"), i.alias("i"))), F.lit(1.0), lambda m, x: m * F.when(x["i"] == 0, 1.0).otherwise(before(x["a"], F.greatest(x["i"], F.lit(1)))))
+    return F.when(F.size("places") == 1, alone).otherwise(1 - several)
+
+
 def _stops():
     from ..functions.stem import STOP_WORDS
 
@@ -59,49 +83,67 @@ def _stops():
 
 
 def choose_sets(cases: DataFrame, sets: list[str] | None = None, every: int = 1) -> DataFrame:
-    """Cases of the named sets, every nth of each."""
+    """Cases of the named sets, every nth of them all in order of set and qid. Places are counted set by set and shifted
+    by the sizes of the sets before, so no task sees all cases."""
     kept = cases.where(F.col("set").isin(*sets)) if sets else cases
-    return kept.withColumn("_i", F.row_number().over(Window.partitionBy("set").orderBy("qid")) - 1).where(F.col("_i") % every == 0).drop("_i")
+    size = kept.groupBy("set").agg(F.count("*").alias("size"))  # one row a set
+    shift = size.withColumn("_before", F.coalesce(F.sum("size").over(Window.orderBy("set").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
+    place = F.row_number().over(Window.partitionBy("set").orderBy("qid")) - 1
+    return kept.withColumn("_i", place).join(shift, "set").where((F.col("_i") + F.col("_before")) % every == 0).drop("_i", "_before")
 
 
 def overlap(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
-    """Per query: how many of the first k ids two systems share."""
-    shared = a.where(F.col("pos") <= k).select("qid", "id").distinct().join(b.where(F.col("pos") <= k).select("qid", "id").distinct(), ["qid", "id"]).groupBy("qid").agg(F.count("*").alias("shared"))
+    """Per query of either: how many of the first k ids two systems share."""
+    first = lambda d: d.where(F.col("pos") <= k).select("qid", "id").distinct()
+    shared = first(a).join(first(b), ["qid", "id"]).groupBy("qid").agg(F.count("*").alias("shared"))
     every = a.select("qid").union(b.select("qid")).distinct()
     return every.join(shared, "qid", "left").select("qid", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
+def mean_overlap(cases: DataFrame, a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
+    """One row: n (all cases), mean of the shared ids; a case that neither system answers shares none."""
+    return cases.select("qid").join(overlap(a, b, k), "qid", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("shared", F.lit(0))).alias("mean"))
+
+
 # -- generators ------------------------------------------------------------------------
-def eligible_words(catalog: Catalog, min_length: int = 5, min_names: int = 20) -> DataFrame:
-    """Words of letters a-z that enough names hold, no stop words: word, n_names."""
-    each = catalog.names.select("name_key", F.explode(F.array_distinct(F.split("name_key", " "))).alias("word"))
+def eligible_words(catalog: Catalog, min_length: int = 5, min_docs: int = 20) -> DataFrame:
+    """Words of letters a-z that the names of enough rows hold, no stop words: word, n_docs."""
+    each = catalog.documents.select(F.explode(F.array_distinct(F.split("name_key", " "))).alias("word"))
     ok = each.where(F.col("word").rlike("^[a-z]+$") & (F.length("word") >= min_length) & ~is_stop(F.col("word")))
-    return ok.groupBy("word").agg(F.count("*").alias("n_names")).where(F.col("n_names") >= min_names)
+    return ok.groupBy("word").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+
 
+def _draw(*key) -> Column:
+    """A number below 2^32 that depends on the key alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 8), 16, 10).cast("long")
 
-def seeded(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """A shuffle that depends on the seed and the key alone: n counts from 1."""
-    return df.withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), key), key)))
+
+def seeded(df: DataFrame, key: str, seed: int, most: int) -> DataFrame:
+    """The first ``most`` rows of a shuffle that depends on the seed and the key alone: n counts from 1."""
+    first = df.withColumn("_draw", _draw(F.lit(str(seed)), F.col(key))).orderBy("_draw", key).limit(most)
+    return first.withColumn("n", F.row_number().over(Window.orderBy("_draw", key))).drop("_draw")  # ``most`` rows
 
 
 def misspellings(words: DataFrame, catalog: Catalog, seed: int = 1, typos: int = 300, controls: int = 200, tries: int = 10) -> DataFrame:
     """q, expect, kind (typo, control), edit. Four edits in turn (drop, swap, change, add), never at the first letter, drawn
-    up to ``tries`` times while the result is a known word; then controls. A vocabulary-sized list, ordered by a seeded hash."""
-    order = seeded(words.select("word"), "word", seed).where(F.col("n") <= typos + controls)
-    draw = lambda what, t: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), t, "word"), F.lit(1 << 30))
+    up to ``tries`` times while the result is a known word (a word with no luck gives none); then controls."""
+    order = seeded(words.select("word"), "word", seed, typos + controls)
     kind = F.element_at(F.array(*(F.lit(x) for x in ("drop", "swap", "change", "add"))), ((F.col("n") - 1) % 4 + 1).cast("int"))
     rows = order.where(F.col("n") <= typos).withColumn("edit", kind).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(tries))))
-    size = F.length("word")
-    at = (draw("at", F.col("t")) % F.greatest(size - F.when(F.col("edit") == "swap", 2).otherwise(1), F.lit(1)) + 2).cast("int")
-    letter = F.substr(F.lit(tx.LETTERS), (draw("letter", F.col("t")) % 26 + 1).cast("int"), F.lit(1))
-    rows = rows.withColumn("at", at).withColumn("letter", letter)
+    draw = lambda what: _draw(F.lit(str(seed)), F.lit(what), F.col("t").cast("string"), F.col("word"))
+    room = F.greatest(F.length("word") - F.when(F.col("edit") == "swap", 2).otherwise(1), F.lit(1))
+    letter = F.substr(F.lit(tx.LETTERS), (draw("letter") % 26 + 1).cast("int"), F.lit(1))
+    rows = rows.withColumn("at", (draw("at") % room + 2).cast("int")).withColumn("letter", letter)
     w, i = F.col("word"), F.col("at")
-    head = F.substr(w, F.lit(1), i - 1)
-    made = F.when(F.col("edit") == "drop", F.concat(head, F.substr(w, i + 1))).when(F.col("edit") == "swap", F.concat(head, F.substr(w, i + 1, F.lit(1)), F.substr(w, i, F.lit(1)), F.substr(w, i + 2))).when(F.col("edit") == "change", F.concat(head, F.col("letter"), F.substr(w, i + 1))).otherwise(F.concat(head, F.col("letter"), F.substr(w, i)))
+    head, tail = F.substr(w, F.lit(1), i - 1), lambda k: F.substr(w, i + k)
+    drop, change, add = F.concat(head, tail(1)), F.concat(head, F.col("letter"), tail(1)), F.concat(head, F.col("letter"), tail(0))
+    swap = F.concat(head, F.substr(w, i + 1, F.lit(1)), F.substr(w, i, F.lit(1)), tail(2))
+    made = F.when(F.col("edit") == "drop", drop).when(F.col("edit") == "swap", swap).when(F.col("edit") == "change", change).otherwise(add)
     new = rows.withColumn("q", made).where("q <> word").join(catalog.words.select(F.col("word").alias("q")), "q", "left_anti")
     first = top(new, ["word"], [F.col("t")], 1)
     out = first.select("q", F.col("word").alias("expect"), F.lit("typo").alias("kind"), "edit")
-    return out.unionByName(order.where(F.col("n") > typos).select(F.col("word").alias("q"), F.col("word").alias("expect"), F.lit("control").alias("kind"), F.lit(None).cast("string").alias("edit")))
+    rest = order.where(F.col("n") > typos).select(F.col("word").alias("q"), F.col("word").alias("expect"), F.lit("control").alias("kind"), F.lit(None).cast("string").alias("edit"))
+    return out.unionByName(rest)
 
 
 def truncations(words: DataFrame, catalog: Catalog, least: int = 4) -> DataFrame:
@@ -119,9 +161,15 @@ def near_words(catalog: Catalog, ratio: int = 10) -> DataFrame:
     return top(found, ["word"], [F.col("near_n").desc(), F.col("near")], 1).select(F.col("word").alias("q"), "near")
 
 
+def used_words(*sets: DataFrame) -> DataFrame:
+    """The tokens of the queries (q) and intended texts (expect) of earlier sets: word."""
+    each = [s.select(F.explode(tx.tokens(F.concat_ws(" ", "q", "expect"))).alias("word")) for s in sets]
+    return reduce(DataFrame.union, each).distinct()
+
+
 def unused(words: DataFrame, *earlier: DataFrame) -> DataFrame:
-    """``words`` that no earlier set expects."""
-    return reduce(lambda w, s: w.join(s.select(F.col("expect").alias("word")).distinct(), "word", "left_anti"), earlier, words)
+    """``words`` that no query and no intended text of an earlier set holds."""
+    return words.join(used_words(*earlier), "word", "left_anti") if earlier else words
 
 
 # -- scoring ---------------------------------------------------------------------------

@@ -6,15 +6,18 @@ deterministic one. Every failure, and every missing score, leaves the page as it
 
 from __future__ import annotations
 
+import logging
 import math
 import os
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import carries
+from ..plans.durable import checkpointed
 from .catalog import Catalog
 from .group import facets, query_distinct, suggest
 from .spell import similar_words, spelling_options, suggestion
@@ -35,14 +38,33 @@ def threshold_setting(name: str = "SHELFMARK_THRESHOLD") -> float:
         return math.nan
 
 
-def with_scores(requests: DataFrame, score: Callable) -> DataFrame:
-    """A scorer from a Python function on pandas batches (qid, idx, query, text) -> scores; it runs on the executors."""
+def with_scores(requests: DataFrame, score: Callable, seconds: float = 1.5) -> DataFrame:
+    """A scorer from a Python function on pandas batches (qid, idx, query, text) -> scores; it runs on the executors, one
+    query at a time. A call that fails, or takes longer than ``seconds``, leaves that query without scores."""
 
     def run(batches):
-        for pdf in batches:
-            yield pdf[["qid", "idx"]].assign(score=score(pdf))
-
-    return requests.mapInPandas(run, f"qid {requests.schema['qid'].dataType.simpleString()}, idx int, score double")
+        with ThreadPoolExecutor(1) as pool:
+            for pdf in batches:
+                for _, one in pdf.groupby("qid", dropna=False, sort=False):
+                    try:
+                        given = pool.submit(score, one).result(seconds)
+                        yield one[["qid", "idx"]].assign(score=[float(x) for x in given])
+                    except Exception:  # whatever went wrong, the page stays as it was
+                        yield one[["qid", "idx"]].assign(score=math.nan)
+                        pool.shutdown(wait=False, cancel_futures=True)
+                        pool = ThreadPoolExecutor(1)
+
+    found = requests.repartition("qid").mapInPandas(run, f"qid {requests.schema['qid'].dataType.simpleString()}, idx int, score double")
+    return found.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+
+
+def failing_open(make: Callable[[], DataFrame], schema_of: DataFrame) -> DataFrame:
+    """The stored result of ``make``; if it fails, no rows, with the columns of ``schema_of``."""
+    try:
+        return checkpointed(make())
+    except Exception as e:
+        logging.getLogger(__name__).warning("the step is left out: %s", str(e).split("\n")[0])
+        return schema_of.limit(0)
 
 
 def rerank_requests(page: DataFrame, top: int = 10) -> DataFrame:
@@ -81,13 +103,16 @@ def search_page(catalog: Catalog, queries: DataFrame, scorer: Scorer | None = No
     """The ranked page of each query, and its spelling suggestion (only for queries without filters)."""
     found = query_distinct(catalog, queries).join(catalog.documents.drop("words", "stems", "code", "rank", "other_key"), "id").join(queries.select("qid", F.col("q").alias("query")), "qid")
     request = found.where("pos <= 10").select("qid", (F.col("pos") - 1).alias("idx"), "query", F.concat_ws(" ", "name", "other_names").alias("text"))
-    none = request.select("qid", "idx", F.lit(None).cast("double").alias("score")).limit(0)
-    page = keep_or_sink(found, scorer(request) if scorer else none, threshold=threshold_setting() if threshold is None else threshold)
+    none = request.select("qid", "idx", F.lit(None).cast("double").alias("score"))
+    scores = failing_open(lambda: scorer(request), none) if scorer else none.limit(0)
+    page = keep_or_sink(found, scores, threshold=threshold_setting() if threshold is None else threshold)
     plain = queries.where(F.col("filters").isNull() | (F.size("filters") == 0))
-    options = spelling_options(plain, similar_words(catalog, plain))
+    nothing = plain.select("qid", F.lit(0).alias("n"), F.lit("").alias("text"), F.lit(0).alias("edits"), F.lit(False).alias("completes"))
+    options = failing_open(lambda: spelling_options(plain, similar_words(catalog, plain)), nothing)
     asked = options.select("qid", F.col("n").alias("idx"), "text").join(plain.select("qid", F.col("q").alias("query")), "qid")
-    p = (spell_scorer(asked) if spell_scorer else asked.select("qid", "idx", F.lit(None).cast("double").alias("score"))).select("qid", F.col("idx").alias("n"), F.col("score").alias("p"))
-    return page, suggestion(options, p)
+    unsaid = asked.select("qid", "idx", F.lit(None).cast("double").alias("score"))
+    p = failing_open(lambda: spell_scorer(asked), unsaid) if spell_scorer else unsaid
+    return page, suggestion(options, p.select("qid", F.col("idx").alias("n"), F.col("score").alias("p")))
 
 
 def spelling_request(options: DataFrame, words: DataFrame) -> DataFrame:
@@ -99,6 +124,13 @@ def spelling_request(options: DataFrame, words: DataFrame) -> DataFrame:
     return options.join(counts, ["qid", "n"], "left").select("qid", "n", F.concat_ws(", ", F.concat(F.lit("s"), "n", F.lit(" = "), "text"), edits, "found").alias("line"))
 
 
+def shape_facets(counts: DataFrame) -> DataFrame:
+    """One row per query: its facets (qid, facet, value, doc_count) grouped by name, values by count, then value."""
+    value = F.struct((-F.col("doc_count")).alias("less"), "value", "doc_count")
+    each = counts.groupBy("qid", "facet").agg(F.transform(F.array_sort(F.collect_list(value)), lambda x: F.struct(x["value"].alias("value"), x["doc_count"].alias("count"))).alias("values"))
+    return each.groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("facet", "values")))).alias("facets"))
+
+
 def shape(page: DataFrame, suggestions: DataFrame) -> DataFrame:
     """One row per query as a server would answer: ids in order, the suggestion, and no_match only without one."""
     ids = page.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("new_pos", "id"))), lambda x: x["id"]).alias("ids"), F.max("no_match").alias("no_match"))

@@ -68,7 +68,7 @@ def unfinished(terms: DataFrame, catalog: Catalog) -> DataFrame:
     return first.where(F.col("full_stem") != F.col("stem")).select("qid").distinct()
 
 
-def _rarest(terms: DataFrame, counts: DataFrame) -> DataFrame:
+def rarest(terms: DataFrame, counts: DataFrame) -> DataFrame:
     """Of each query's terms (qid, term), the one that the fewest rows hold (``counts``: term, rows), with all of its terms
     as ``all_terms``. A query with a term that no row holds is gone."""
     known = terms.join(counts, "term", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "term")).alias("lead"), F.collect_set("term").alias("all_terms"))
@@ -79,7 +79,7 @@ def word_step(q: DataFrame, catalog: Catalog, terms: DataFrame | None = None) ->
     terms = stems_of(q) if terms is None else terms
     ready = terms.join(unfinished(terms, catalog), "qid", "left_anti").select("qid", F.col("stem").alias("term")).distinct()
     counts = catalog.words.groupBy(F.col("stem").alias("term")).agg(F.max("match_count").alias("rows"))
-    hits = _rarest(ready, counts).join(catalog.postings_stem, "term")
+    hits = rarest(ready, counts).join(catalog.postings_stem, "term")
     found = _in_catalog(hits, q, catalog, "stems").where(F.size(F.array_except("all_terms", "stems")) == 0)
     return _by_name(found, "word")
 
@@ -88,7 +88,7 @@ def prefix_step(q: DataFrame, catalog: Catalog) -> DataFrame:
     able = q.where(F.exists("kept", lambda w: F.length(w) >= 3))
     terms = able.select("qid", F.explode(F.array_distinct("kept")).alias("term"))
     full = prefix_join(terms.select("term").distinct(), "term", catalog.words.select("word", "doc_count"), "word")
-    lead = _rarest(terms, full.groupBy("term").agg(F.sum("doc_count").alias("rows")))
+    lead = rarest(terms, full.groupBy("term").agg(F.sum("doc_count").alias("rows")))
     hits = lead.join(full.select("term", "word"), "term").join(catalog.postings_word.withColumnRenamed("term", "word"), "word").select("qid", "id", "all_terms").distinct()
     each = F.forall("all_terms", lambda t: F.exists("words", lambda w: F.startswith(w, t)))
     return _by_name(_in_catalog(hits, q, catalog, "words").where(each), "prefix")

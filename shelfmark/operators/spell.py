@@ -101,10 +101,15 @@ def suggestion(options: DataFrame, probabilities: DataFrame, suggest_at: float =
     return agg.select("qid", F.when(good, F.col("best.text")).alias("suggestion"), F.when(ran, p).otherwise(0.0).alias("p"), ran.alias("ran"))
 
 
-def frequency_rule(similar: DataFrame, least: int = 10) -> DataFrame:
-    """qid, pos, alternative: the commonest candidate with at least ``least`` times the word's own matches (or that many)."""
-    ok = similar.where(~F.col("completes") & (F.col("alternative_matches") >= least * F.greatest("word_matches", F.lit(1))))
-    return top(ok, ["qid", "pos"], [F.col("alternative_matches").desc(), F.col("n")], 1).select("qid", "pos", "alternative")
+def frequency_rule(queries: DataFrame, similar: DataFrame, least: int = 10) -> DataFrame:
+    """qid, corrected: the query with one word respelled, to the commonest candidate of any of its words that has at least
+    ``least`` times the word's own matches (or that many); null if there is none. Ties go to the first word and candidate."""
+    q = queries.select("qid", tx.query_tokens(F.col("q")).alias("tokens"))
+    rows = similar.join(q, "qid").where(F.get("tokens", F.col("pos") - 1) == F.col("word"))
+    ok = rows.where(~F.col("completes") & (F.col("alternative_matches") >= least * F.greatest("word_matches", F.lit(1))))
+    best = top(ok, ["qid"], [F.col("alternative_matches").desc(), F.col("pos"), F.col("n")], 1)
+    respelt = F.array_join(F.transform("tokens", lambda t, i: F.when(i + 1 == F.col("pos"), F.col("alternative")).otherwise(t)), " ")
+    return queries.select("qid").join(best.select("qid", respelt.alias("corrected")), "qid", "left")
 
 
 def known_edits(words: DataFrame, catalog: Catalog) -> DataFrame:

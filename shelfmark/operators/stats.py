@@ -46,10 +46,13 @@ def holm(df: DataFrame, by: list[str], p: str = "p") -> DataFrame:
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Per group, the element at floor(q x (n - 1)) of the sorted values. Ranks come from a window, so no list is gathered."""
+    """Per group, the element at floor(q x (n - 1)) of the sorted values. Equal values are counted first, so a task
+    sorts the distinct values of a group only."""
     w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("_i") == F.floor(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(name) for name, q in qs.items()))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    upto = counted.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    place = lambda q: F.floor(F.lit(q) * (F.col("_n") - 1))
+    return upto.groupBy(*by).agg(*(F.max(F.when((F.col("_upto") - F.col("_c") <= place(q)) & (place(q) < F.col("_upto")), F.col(value))).alias(name) for name, q in qs.items()))
 
 
 def auroc(df: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
@@ -76,13 +79,6 @@ def calibration(df: DataFrame, p: str, right: str, bins: int = 10) -> DataFrame:
     return ece.crossJoin(brier)  # one row with one row
 
 
-def threshold_sweep(df: DataFrame, p: str, right: str, low: float = 0.20, high: float = 0.95, step: float = 0.05) -> DataFrame:
-    """Per floor: how many answers reach it and how many of them are right. Each row explodes to its floors (16 at most)."""
-    n = round((high - low) / step) + 1
-    floors = F.array(*(F.lit(round(low + step * i, 2)) for i in range(n)))
-    return df.select(F.explode(F.filter(floors, lambda f: F.col(p) >= f)).alias("floor"), F.col(right).alias("right")).groupBy("floor").agg(F.count("*").alias("offered"), F.sum(F.col("right").cast("long")).alias("right"))
-
-
 def token_cost(tokens: Column, price_per_million: float) -> Column:
     return tokens * price_per_million / 1e6
 

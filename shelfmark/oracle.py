@@ -20,7 +20,7 @@ def _values(rows) -> str:
 TOK = "list_filter(string_split(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda t: t <> '')"
 STOPS = "[" + ", ".join(_text(w) for w in STOP_WORDS) + "]"
 #: Stems of the words of part and of the batch that differ from their words, by hand; every other word of them is its own stem.
-STEMS = "CASE {0} WHEN 'economy' THEN 'economi' WHEN 'large' THEN 'larg' WHEN 'widgets' THEN 'widget' WHEN 'anvill' THEN 'anvil' ELSE {0} END"
+STEMS = "CASE {0} WHEN 'economy' THEN 'economi' WHEN 'large' THEN 'larg' WHEN 'widgets' THEN 'widget' WHEN 'anvill' THEN 'anvil' WHEN 'widgte' THEN 'widgt' ELSE {0} END"
 GRAMS = "flatten(list_transform({0}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
 
 SEARCH = f"""
@@ -116,9 +116,6 @@ SELECT DISTINCT word, edit FROM (
   UNION ALL SELECT word, left(word, i) || c || substr(word, i + 2) FROM p, c WHERE i < length(word)
   UNION ALL SELECT word, left(word, i) || c || substr(word, i + 1) FROM p, c) WHERE edit <> word""",
     "edit_distance": f"""WITH w AS (SELECT DISTINCT unnest({TOK.format('p_name')}) AS a FROM part) SELECT a, b, CAST(CASE WHEN b = '' THEN length(a) ELSE damerau_levenshtein(a, b) END AS INTEGER) AS edits FROM w, (VALUES ('widgte'), ('rde'), ('glod'), ('blue'), ('')) t(b)""",
-    "suggestion_rule": """WITH o AS (SELECT o_custkey AS qid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n, CAST(o_orderkey AS VARCHAR) AS text, o_orderkey % 3 = 0 AS completes, (o_orderkey % 10) / 10.0 AS p FROM orders WHERE o_custkey % 7 = 0),
-g AS (SELECT qid, count(*) AS c, sum(CASE WHEN n = 0 OR completes THEN p ELSE 0 END) AS kept, max(CASE WHEN n > 0 AND NOT completes THEN p ELSE 0 END) AS best FROM o GROUP BY 1)
-SELECT qid, CASE WHEN c > 1 AND best >= 0.3 AND best >= 2 * kept THEN (SELECT text FROM o WHERE o.qid = g.qid AND n > 0 AND NOT completes AND p = g.best ORDER BY n LIMIT 1) END AS suggestion, round(CAST(CASE WHEN c > 1 THEN best ELSE 0 END AS DOUBLE), 6) AS p, c > 1 AS ran FROM g""",
     "keep_or_sink": """WITH pg AS (SELECT p_brand AS qid, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos, CAST(p_partkey AS VARCHAR) AS id, p_name, p_type, (p_partkey % 10) / 10.0 AS score FROM part),
 h AS (SELECT qid, count(*) AS size, count(DISTINCT p_name) AS groups, bool_and(score < 0.3) AS low, bool_or(starts_with(p_name, 'red widget')) AS says FROM pg WHERE pos <= 10 GROUP BY 1),
 j AS (SELECT pg.*, size >= 2 AND groups >= 2 AS ran, low AND NOT says AS lost, pos <= 10 AND score < 0.3 AND size >= 2 AND groups >= 2 AS sunk FROM pg JOIN h USING (qid))
@@ -142,7 +139,6 @@ JOIN (SELECT a.lang, sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 EL
     "reliability": f"SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(CASE WHEN good THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({_L}) GROUP BY 1",
     "calibration": f"""WITH s AS ({_L}), b AS (SELECT count(*) AS n, abs(avg(p) - avg(CASE WHEN good THEN 1.0 ELSE 0.0 END)) AS gap FROM s GROUP BY least(floor(p * 10), 9))
 SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * gap) / sum(n), 6) AS ece, (SELECT round(avg((p - CASE WHEN good THEN 1 ELSE 0 END) ** 2), 6) FROM s) AS brier FROM b""",
-    "threshold_sweep": f"SELECT round(0.2 + 0.05 * i, 2) AS floor, count(*) AS offered, CAST(sum(CASE WHEN good THEN 1 ELSE 0 END) AS BIGINT) AS \"right\" FROM ({_L}) s, range(0, 16) t(i) WHERE p >= round(0.2 + 0.05 * i, 2) GROUP BY 1",
     "correction_counts": """WITH r AS (SELECT event_type AS system, CASE WHEN user_id % 4 = 0 THEN 'control' ELSE 'typo' END AS kind, event_id % 5 AS expect, CASE WHEN event_id % 3 <> 0 THEN user_id % 5 END AS said FROM events)
 SELECT system, count(*) AS n, count(*) FILTER (WHERE kind = 'typo' AND said = expect) AS fixed, count(*) FILTER (WHERE kind = 'typo' AND said <> expect) AS wrong, count(*) FILTER (WHERE kind = 'typo' AND said IS NULL) AS missed,
 count(*) FILTER (WHERE kind = 'control' AND said IS NOT NULL) AS false_alarms, count(said) AS offered, round(count(*) FILTER (WHERE kind = 'typo' AND said = expect) / nullif(count(said), 0), 6) AS "precision" FROM r GROUP BY 1""",

@@ -114,34 +114,6 @@ def edit_distance(spark, sf_dir):
     return w.join(F.broadcast(b)).select("a", "b", tx.edit_distance(F.col("a"), F.col("b")).alias("edits"))
 
 
-TYPED = [(1, "widgte", None), (2, "smlal gear", None), (3, "bleu bolt", None), (4, "economi", None), (5, "gea", None), (6, "standrad plate", None), (7, "goldd", None)]
-
-
-def similar_words(spark, sf_dir):
-    return spell.similar_words(part_catalog(spark, sf_dir), plain(spark, TYPED)).drop("n")
-
-
-def spelling_options(spark, sf_dir):
-    q = plain(spark, TYPED)
-    return spell.spelling_options(q, spell.similar_words(part_catalog(spark, sf_dir), q))
-
-
-def suggestion_rule(spark, sf_dir):
-    """Options are rows of orders by customer; the share of an order's price stands for its probability."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 7 = 0")
-    n = F.row_number().over(cat.Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    opts = o.select(F.col("o_custkey").alias("qid"), n.alias("n"), F.col("o_orderkey").cast("string").alias("text"), (F.col("o_orderkey") % 3 == 0).alias("completes"), (F.col("o_orderkey") % 10 / 10.0).alias("p"))
-    return spell.suggestion(opts.drop("p"), opts.select("qid", "n", "p")).select("qid", "suggestion", F.round("p", 6).alias("p"), "ran")
-
-
-def norvig(spark, sf_dir):
-    return spell.norvig(part_catalog(spark, sf_dir), plain(spark, TYPED))
-
-
-def frequency_rule(spark, sf_dir):
-    return spell.frequency_rule(spell.similar_words(part_catalog(spark, sf_dir), plain(spark, TYPED)))
-
-
 def keep_or_sink(spark, sf_dir):
     """Parts by brand as pages; the last digit of the key stands for the score."""
     n = F.row_number().over(cat.Window.partitionBy("p_brand").orderBy("p_partkey"))
@@ -198,21 +170,12 @@ def calibration(spark, sf_dir):
     return stats.calibration(_labels(spark, sf_dir), "p", "good").select("n", F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"))
 
 
-def threshold_sweep(spark, sf_dir):
-    return stats.threshold_sweep(_labels(spark, sf_dir), "p", "good")
-
-
 def correction_counts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     rows = e.select(F.col("event_type").alias("system"), F.when(F.col("user_id") % 4 == 0, "control").otherwise("typo").alias("kind"), (F.col("event_id") % 5).cast("string").alias("expect"), F.when(F.col("event_id") % 3 != 0, (F.col("user_id") % 5).cast("string")).alias("suggested"))
     return evaluate.correction_counts(rows, ["system"]).withColumn("precision", F.round("precision", 6))
 
 
-def overlap(spark, sf_dir):
-    c = part_catalog(spark, sf_dir)
-    return evaluate.overlap(retrieve.search(c, batch(spark)), group.query_distinct(c, batch(spark)))
-
-
 def newest_per_code(spark, sf_dir):
     """Orders as releases: the customer is the code, the date decides; some of the newest are discontinued."""
     o = table(spark, sf_dir, "orders")
@@ -228,7 +191,7 @@ def hash_sample(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokens, documents, names, words, waterfall, query_distinct, suggest, facets, trigram_similarity, word_similarity, edits1, edit_distance, similar_words, spelling_options, suggestion_rule, norvig, frequency_rule,
-        keep_or_sink, carries, hit_at_k, wilson, mcnemar, holm, quantile, auroc, reliability, calibration, threshold_sweep, correction_counts, overlap, newest_per_code, hash_sample,
+        tokens, documents, names, words, waterfall, query_distinct, suggest, facets, trigram_similarity, word_similarity, edits1, edit_distance,
+        keep_or_sink, carries, hit_at_k, wilson, mcnemar, holm, quantile, auroc, reliability, calibration, correction_counts, newest_per_code, hash_sample,
     )
 } | {f"{s}_step": _step(s) for s in retrieve.STEPS}

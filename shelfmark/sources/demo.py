@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contained_words
-from ..plans.files import exists, put_in_place
+from ..plans.files import exists, put_in_place, write_text
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -27,14 +28,18 @@ def newest_per_code(branded: DataFrame, foods: DataFrame) -> DataFrame:
 
 
 def product_source(products: DataFrame) -> DataFrame:
-    """Products as a catalog source: the brand goes before a description that does not name it; rank counts rows of the same description and brand."""
+    """Products as a catalog source: the brand goes before a description that does not name it; rank counts the rows whose
+    final names have the same words. A product without a brand has no brand facet."""
     named = F.instr(contained_words(F.col("description")), contained_words(F.col("brand_name"))) > 0
     name = F.when(F.col("brand_name").isNull() | named, F.col("description")).otherwise(F.concat_ws(" ", "brand_name", "description"))
-    same = F.count("*").over(Window.partitionBy(F.lower("description"), F.lower(F.coalesce("brand_name", F.lit("")))))
-    return products.select(
-        F.col("gtin_upc").alias("id"), name.alias("name"), F.col("brand_owner").alias("other_names"), F.lit(None).cast("string").alias("group_key"), F.col("gtin_upc").alias("code"),
-        F.map_filter(F.create_map(F.lit("category"), F.col("category"), F.lit("brand"), F.coalesce("brand_name", "brand_owner")), lambda _, v: v.isNotNull()).alias("facets"), same.cast("float").alias("rank"),
+    facets = F.map_filter(F.create_map(F.lit("category"), F.col("category"), F.lit("brand"), F.col("brand_name")), lambda _, v: v.isNotNull())
+    rows = products.select(
+        F.col("gtin_upc").alias("id"), name.alias("name"), F.col("brand_owner").alias("other_names"), F.lit(None).cast("string").alias("group_key"),
+        F.col("gtin_upc").alias("code"), facets.alias("facets"), contained_words(name).alias("_words"),
     )
+    # Counted, then joined: no task gathers all rows of one name.
+    same = rows.groupBy(F.col("_words").alias("_words2")).agg(F.count("*").cast("float").alias("rank"))
+    return rows.join(same, F.col("_words") == F.col("_words2")).drop("_words", "_words2")
 
 
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -43,6 +48,7 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def write_sample(df: DataFrame, path: str) -> None:
+    """One gzip CSV file of a sample, whose size is bounded."""
     df.coalesce(1).write.option("compression", "gzip").option("header", True).mode("errorifexists").csv(path)
 
 
@@ -63,18 +69,35 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return plain.unionByName(rows.where("cases is not null").select(F.explode("cases").alias("c")).select("c.*")).where("q is not null")
 
 
-def write_run(records: DataFrame, path: str) -> None:
-    records.coalesce(1).write.mode("errorifexists").json(path)
-
-
-def read_runs(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """Every run file of a folder, with the file as ``run``."""
-    return spark.read.schema(schema).json(glob).withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
-
-
-def misspelling_pairs(lines: DataFrame) -> DataFrame:
-    """Lines ``wrong->right[, other]`` with one right word of letters, four or more: q, expect."""
-    wrong, right = F.lower(F.regexp_extract("value", r"^\s*([^\s>]+)->", 1)), F.lower(F.regexp_extract("value", r"->(.*)$", 1))
-    return lines.select(wrong.alias("q"), F.trim(right).alias("expect")).where(F.col("q").rlike("^[a-z]{4,}$") & F.col("expect").rlike("^[a-z]+$") & (F.col("q") != F.col("expect"))).distinct()
-
-
+def write_run(records: DataFrame, path: str, meta: dict[str, str] | None = None) -> None:
+    """Records as JSON lines, each with its place, and ``meta`` (what the run was) beside them, written last: a run with
+    meta is a whole run."""
+    records.write.mode("errorifexists").json(f"{path}/records")
+    write_text(records.sparkSession, f"{path}/meta.json", json.dumps(meta or {}))
+
+
+def read_runs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The records of whole runs, with ``run`` (their folder's name) and ``meta`` (map<string,string>)."""
+    out = None
+    for path in sorted(paths):  # runs are few: one folder each
+        meta = json.loads("".join(r.value for r in spark.read.text(f"{path}/meta.json").collect()))
+        pairs = [F.lit(x) for k, v in meta.items() for x in (k, v)]
+        given = F.create_map(*pairs) if pairs else F.create_map()
+        one = spark.read.schema(schema).json(f"{path}/records").withColumn("run", F.lit(path.rstrip("/").rsplit("/", 1)[-1]))
+        one = one.withColumn("meta", given.cast("map<string,string>"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def misspelling_pairs(lines: DataFrame, words: DataFrame, used: DataFrame, least_docs: int = 20, least_length: int = 4) -> DataFrame:
+    """Lines (n, value) ``wrong->right`` with one right word: q, expect. The right word has ``least_length`` letters or more
+    and ``least_docs`` rows in ``words`` (word, doc_count); neither is in ``used`` (word); the first line of a wrong word counts."""
+    pattern = r"^\s*([^\s>]+)->(.+?)\s*$"
+    pair = lambda i: F.lower(F.regexp_extract("value", pattern, i))
+    pairs = lines.select("n", pair(1).alias("q"), pair(2).alias("expect"))
+    fit = pairs.where(F.col("q").rlike("^[a-z]+$") & F.col("expect").rlike("^[a-z]+$") & (F.length("expect") >= least_length) & (F.col("q") != F.col("expect")))
+    common = words.where(F.col("doc_count") >= least_docs).select(F.col("word").alias("expect"))
+    free = fit.join(common, "expect", "left_semi")
+    for c in ("q", "expect"):
+        free = free.join(used.select(F.col("word").alias(c)), c, "left_anti")
+    return free.groupBy("q").agg(F.min_by("expect", "n").alias("expect"))
