@@ -4,7 +4,8 @@
 2. *Start.* Each of ``trees`` random-hyperplane trees deals the nodes of a label into leaves of
    about ``leaf`` nodes; the nearest ``k`` of a node over all its leaves start its neighbour list.
 3. *Refine.* Every node brings its neighbours and those it is a neighbour of together; among them
-   each learns of nearer ones. Rounds go on until one changes at most a hundredth of the lists. Where very many meet, at a hub
+   each learns of nearer ones. Rounds go on until one changes at most a hundredth of the lists or, after the second,
+   finds no further link. Where very many meet, at a hub
    or in a leaf that no hyperplane parts, they meet in parts.
 4. *Enlarge.* A list full of links is saturated: further links of its node may be hidden behind nearer ones. Linked
    nodes form components; the nodes of saturated lists are searched again for the nearest k outside their own component,
@@ -180,8 +181,10 @@ def _refine(nodes: DataFrame, lists: DataFrame, k: int, turn: int) -> DataFrame:
     return _merge(lists.union(new), k)
 
 
-def _search(nodes: DataFrame, k: int, trees: range, leaf: int, turn: int, rounds: int | None) -> DataFrame:
-    """The lists of the k nearest nodes of another ``own``: rounds until one changes at most a hundredth of the lists."""
+def _search(nodes: DataFrame, k: int, trees: range, leaf: int, turn: int, rounds: int | None, threshold: float) -> DataFrame:
+    """The lists of the k nearest nodes of another ``own``: rounds until one changes at most a hundredth of the lists,
+    or, after the second, finds no further link."""
+    links = -1
     lists = durable(_start(nodes, k, trees, leaf), "nn-lists")
     total = lists.agg(F.count(F.when(F.octet_length("sims") > 0, 1))).first()[0]
     for r in (count_up() if rounds is None else range(rounds)) if total else ():
@@ -190,7 +193,8 @@ def _search(nodes: DataFrame, k: int, trees: range, leaf: int, turn: int, rounds
         change = better.join(before, F.col("node") == F.col("node2"), "left").where(~F.col("near").eqNullSafe(F.col("near2"))).count()
         discard(lists)
         lists = better
-        if change <= 0.01 * total:
+        before_, links = links, _edges(lists, threshold).count()
+        if change <= 0.01 * total or links == before_:
             break
     return lists
 
@@ -216,7 +220,7 @@ def _enlarge(nodes: DataFrame, lists: DataFrame, edges: DataFrame, threshold: fl
         open_ = durable(placed.join(several, F.col("label") == F.col("label2"), "left_semi"), "nn-open")
         if open_.isEmpty():
             return edges, found
-        apart = _search(open_, k, trees, leaf, turn, rounds)
+        apart = _search(open_, k, trees, leaf, turn, rounds, threshold)
         new = durable(_edges(apart, threshold), "nn-edges")
         discard(open_, apart)
         if new.isEmpty():
@@ -300,7 +304,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str =
     edges, turn, links, lost = None, 0, 0, 0
     while True:  # each turn that goes on has joined components, so the turns end
         dealt = range(turn * trees, (turn + 1) * trees)
-        lists = _search(nodes, k, dealt, leaf, turn, rounds)
+        lists = _search(nodes, k, dealt, leaf, turn, rounds, threshold)
         new = _edges(lists, threshold)
         edges = durable(new if edges is None else new.union(edges), "nn-edges")
         edges, found = _enlarge(nodes, lists, edges, threshold, k, dealt, leaf, turn, rounds)
