@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -37,10 +38,21 @@ def put_in_place(spark: SparkSession, staged: str, path: str) -> None:
     aside = fs.exists(at)
     if aside:
         fs.delete(old, True)
-        if not fs.rename(at, old):
-            raise OSError(f"{path} cannot be set aside")
-    if not fs.rename(new, at):
+        _rename(fs, at, old)
+    try:
+        _rename(fs, new, at)
+    except OSError:
         if aside:
-            fs.rename(old, at)
-        raise OSError(f"{staged} cannot be moved to {path}")
+            _rename(fs, old, at)
+        raise
     fs.delete(old, True)
+
+
+def _rename(fs, a, b) -> None:
+    """File systems report a rename that failed by their answer or by an exception."""
+    try:
+        done = fs.rename(a, b)
+    except Py4JJavaError as e:
+        raise OSError(f"{a.toString()} cannot be moved to {b.toString()}") from e
+    if not done:
+        raise OSError(f"{a.toString()} cannot be moved to {b.toString()}")

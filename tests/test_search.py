@@ -100,3 +100,94 @@ def test_page_and_refresh(spark, cat, tmp_path):
     assert found(spark, catalog.current(spark, root), "goat")[0][1] == ["6", "7"]
     with pytest.raises(ValueError):
         catalog.build(src.union(src))
+
+
+def test_unfinished_words_and_stop_words(spark):
+    names = ["Monk Fruit Sweetener", "Monkey Bread", "Monkey Nuts", "Imagine Broth", "The Ginger People", "Of Ginger"]
+    rows = [(str(i), n, None, None, None, {}, float(i)) for i, n in enumerate(names)]
+    c = catalog.build(spark.createDataFrame(rows, "id string, name string, other_names string, group_key string, code string, facets map<string,string>, rank double"))
+    got = found(spark, c, "monke", "imagin", "the ginger", "of", "monk", "ginger the people")
+    assert got[0] == ("prefix", ["2", "1"])  # its commonest completion has another stem: still being typed
+    assert got[1] == ("word", ["3"])  # the completion has the same stem
+    assert got[2] == ("word", ["5", "4"]) and got[5] == ("word", ["4"]) and got[3] == (None, [])
+    assert got[4] == ("word", ["0"])
+
+
+def test_completions_need_a_far_commoner_rival(spark):
+    names = ["Bread"] * 3 + ["Breadfruit"] + ["Dread Ale"] * 400
+    rows = [(str(i), n, None, None, None, {}, 1.0) for i, n in enumerate(names)]
+    c = catalog.build(spark.createDataFrame(rows, "id string, name string, other_names string, group_key string, code string, facets map<string,string>, rank double"))
+    rows = spell.similar_words(c, ask(spark, "brea")).orderBy("n").collect()
+    assert [(r.alternative, r.completes) for r in rows] == []  # "brea" is being typed; no candidate is 100 times as common
+    one = spell.similar_words(c, ask(spark, "brea"), finish_ratio=1).orderBy("n").collect()
+    assert not one or (one[0].completes and one[0].alternative == "bread")
+
+
+def test_equal_queries_share_an_answer_and_keep_their_filters(spark, cat):
+    q = spark.createDataFrame([(1, "goat", None, None), (2, "goat", None, None), (3, "goat", {"brand": "Alder"}, None), (4, " GOAT ", None, 1)], "qid long, q string, filters map<string,string>, lim int")
+    got = {}
+    for r in retrieve.search(cat, q).orderBy("qid", "pos").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    assert got == {1: ["6", "7"], 2: ["6", "7"], 3: ["6"], 4: ["6"]}
+
+
+def test_scorers_that_fail_or_are_late_leave_the_page_alone(spark, cat):
+    import time
+
+    q = ask(spark, "goat", "lunaro flakes", "blackberries", lim=10)
+
+    def score(pdf):
+        if pdf["qid"].iloc[0] == 0:
+            raise RuntimeError("down")
+        if pdf["qid"].iloc[0] == 1:
+            time.sleep(3)
+        return [0.0] * len(pdf)
+
+    rows = spark.createDataFrame([(i, k, "q", "t") for i in range(3) for k in range(2)], "qid long, idx int, query string, text string")
+    got = {r.qid: r.n for r in judge.with_scores(rows, score, 0.5).groupBy("qid").agg({"score": "count"}).withColumnRenamed("count(score)", "n").collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+    def broken(_):
+        raise RuntimeError("cannot even ask")
+
+    page, said = judge.search_page(cat, q, broken, broken)
+    assert page.count() > 0 and not page.where("reranked").count() and said.where("suggestion is not null").count() == 0
+
+
+def test_loads_and_pointers_change_in_one_step(spark, tmp_path):
+    from shelfmark.plans import files
+    from shelfmark.sources import demo
+
+    path = f"file://{tmp_path}/table"
+    demo.load_all_or_nothing(spark.range(3), path)
+    with pytest.raises(FileExistsError):
+        demo.load_all_or_nothing(spark.range(9), path)
+    with pytest.raises(OSError):
+        files.put_in_place(spark, f"{path}.missing", path)  # the older table comes back
+    assert spark.read.parquet(path).count() == 3
+    demo.load_all_or_nothing(spark.range(5), path, replace=True)
+    assert spark.read.parquet(path).count() == 5 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["table"]
+    for v in ("a", "b"):
+        files.write_text(spark, f"file://{tmp_path}/now", v)
+        assert spark.read.text(f"file://{tmp_path}/now").first().value == v
+
+
+def test_no_local_folder_off_a_local_master():
+    from shelfmark.plans import durable
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Far:
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        durable.shared_dir(Far)
