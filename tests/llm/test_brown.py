@@ -135,6 +135,82 @@ def test_score_matches_brute_force_and_probabilities_sum_to_one(spark):
         assert total == pytest.approx(1)
 
 
+def test_words_beyond_the_top_join_the_class_of_highest_likelihood(spark):
+    """Against recounted likelihoods: each word counted 8 times or more, alone, in each class as the counts stood before."""
+    texts, n_top, classes = rows() + [(1000 + i, "n1 n1 v2 n3 n3 n3") for i in range(9)], 12, 4
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in brown.score_texts(df, F.crc32(F.col("doc_id").cast("string")) % 10 == 0, classes=classes, shard_words=50, n_top=n_top).collect()}
+    train = [tokens(t) for i, t in texts if not held(i)]
+    counts = Counter(w for ts in train for w in ts)
+    known = [w for w in counts if w is not None]
+    w = brown.words(*brown.buffers(brown.pa.array([" ".join(known)])))
+    key = dict(zip(known, np.maximum(brown.hash_spans(w.data, w.starts, w.ends, seed=5), brown.U64(1)).view(np.int64).tolist(), strict=True))
+    top = sorted(known, key=lambda x: (-counts[x], key[x]))[:n_top]
+    rare, end = n_top, n_top + brown.BANDS
+    sym = {x: rare + int(math.log2(counts[x])) for x in known} | {x: i for i, x in enumerate(top)} | {None: end}
+
+    def table(of, size):
+        n = np.zeros((size, size), np.int64)
+        for ts in train:
+            for a, b in zip([None, *ts], ts, strict=False):
+                n[of[a], of[b]] += 1
+        return n
+
+    cls = brown.exchange(table(sym, end + 1), n_top, classes)
+    k = int(cls.max()) + 1
+    before = {x: int(cls[s]) for x, s in sym.items()}
+    pair = table(before, k).astype(float)
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    after, moved = dict(before), [x for x in known if x not in top and counts[x] >= brown.CLUSTERED]
+    for x in moved:
+        left, right, own = np.zeros(k), np.zeros(k), 0
+        for ts in train:
+            for a, b in zip([None, *ts], ts, strict=False):
+                own += a == b == x
+                left[before[a]] += b == x and a != x
+                right[before[b]] += a == x and b != x
+        gains = []
+        for b in range(classes):
+            new = pair.copy()
+            new[b] += right
+            new[:, b] += left
+            new[b, b] += own
+            gains.append(f(new).sum() - f(pair).sum() - f(pair[:, b].sum() + counts[x]) + f(pair[:, b].sum()) - f(pair[b].sum() + counts[x]) + f(pair[b].sum()))
+        after[x] = int(np.argmax(gains))
+    assert len(moved) > 20 and len({after[x] for x in moved}) > 1 and any(counts[x] < brown.CLUSTERED for x in known)
+    pair = table(after, k)
+    rare, end = int(cls[rare]), int(cls[end])
+    prior = np.where((pair.sum(0) > 0) | np.isin(np.arange(k), [rare, end]), pair.sum(0) + 1, 0.0)
+    step = (pair + brown.PRIOR * prior / prior.sum()) / (pair.sum(1, keepdims=True) + brown.PRIOR)
+    n1, n2 = (sum(counts[x] == i for x in known) for i in (1, 2))
+    assert n1 and not any(counts[x] == 1 for x in top)
+    unknown = n1 / (n1 + 2 * max(n2, 1))
+    for i, t in texts:
+        want, a = 0.0, end
+        for x in tokens(t):
+            b = after.get(x, rare)
+            emit = 1.0 if b == end else ((1 - unknown) / n1 if x in counts else unknown) if b == rare else counts[x] / pair[:, b].sum()
+            want += math.log10(step[a, b] * emit)
+            a = b
+        assert got[i].score == pytest.approx(want, abs=1e-8), i
+    total = {b: sum(counts[x] / pair[:, b].sum() for x in known if after[x] == b) for b in set(after.values()) - {rare, end}}
+    assert all(v == pytest.approx(1) for v in total.values())
+
+
+def test_cells_add_up_in_parts_and_steps():
+    rnd = np.random.default_rng(3)
+    k, classes = 9, 5
+    parts = [(rnd.integers(0, 30, 200).astype(np.uint64), rnd.integers(0, 2 * k + 2, 200), rnd.integers(1, 4, 200)) for _ in range(4)]
+    want = Counter()
+    for p in parts:
+        for w, c, n in zip(*(x.tolist() for x in p), strict=True):
+            want[w, c] += n
+    cells = brown.summed([brown.summed(parts[:2], 2 * k + 2), *parts[2:]], 2 * k + 2)
+    assert list(zip(*(x.tolist() for x in cells), strict=True)) == [(w, c, n) for (w, c), n in sorted(want.items())]
+    pair = rnd.integers(0, 50, (k, k))
+    assert brown.best_classes(*cells, pair, classes).tolist() == brown.best_classes(*cells, pair, classes, step=7).tolist()
+
+
 def test_emissions_of_rare_words_sum_to_one():
     sym = np.full(7, brown.TOP)
     assert brown.emissions(sym, np.array([1] * 6 + [0]), np.ones(7), 0.25, 6).sum() == pytest.approx(1)
