@@ -46,6 +46,16 @@ def _column(batch, name, kind):
     return [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """An array as one compressed value, which stays small in shuffles too."""
+    raw = a.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _squeezed(batch, name, kind):
+    return [np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True), kind) for x in batch.column(name).to_pylist()]
+
+
 def encode(docs: DataFrame) -> DataFrame:
     """Blocks of documents (_id, _held, _text): local word numbers (0-based, in order of hash; hash 0 is the
     end mark) and, as ``counts``, how often the block's training documents hold each distinct word."""
@@ -65,8 +75,9 @@ def encode(docs: DataFrame) -> DataFrame:
             held = np.array(t.column("_held").to_pylist(), bool)
             learn = np.repeat(~held, n + 1)
             counts = np.bincount(local[learn], minlength=len(uniq))
-            blobs = [longs(t.column("_id"), NULL_ID), held, first, local.astype(np.int32), uniq, counts.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array([(task_id() << 24) + number]), pa.array([-1]), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["block", "shard", "ids", "held", "first", "local", "uniq", "counts"])
+            blobs = [x.tobytes() for x in (longs(t.column("_id"), NULL_ID), held, first)]
+            blobs += [squeeze(local.astype(np.int32)), uniq.tobytes(), counts.astype(np.int64).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([(task_id() << 24) + number]), pa.array([-1]), *(pa.array([b], pa.binary()) for b in blobs)], ["block", "shard", "ids", "held", "first", "local", "uniq", "counts"])
 
     return docs.mapInArrow(run, _BLOCK)
 
@@ -153,7 +164,7 @@ def bind(encoded: DataFrame, answers: DataFrame, top: np.ndarray, shards: int, n
             counts = np.zeros(len(uniq), np.int64)
             counts[np.argsort(shard, kind="stable")] = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in said])
             sym = symbols(uniq, counts, top, n_top)
-            yield pa.RecordBatch.from_arrays([pa.array([body["block"]]), *(pa.array([body[c]], pa.binary()) for c in ("ids", "held", "first", "local")), pa.array([counts.tobytes()], pa.binary()), pa.array([sym.astype(np.int16).tobytes()], pa.binary()), pa.array([uniq[spread(sym, n_top)].tobytes()], pa.binary())], ["block", "ids", "held", "first", "local", "counts", "syms", "uniq"])
+            yield pa.RecordBatch.from_arrays([pa.array([body["block"]]), *(pa.array([body[c]], pa.binary()) for c in ("ids", "held", "first", "local")), pa.array([squeeze(counts)], pa.binary()), pa.array([sym.astype(np.int16).tobytes()], pa.binary()), pa.array([uniq[spread(sym, n_top)].tobytes()], pa.binary())], ["block", "ids", "held", "first", "local", "counts", "syms", "uniq"])
 
     both = encoded.drop("counts").withColumn("counts", F.lit(None).cast("binary")).unionByName(answers.where("block >= 0").drop("first", "uniq"), allowMissingColumns=True)
     return both.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(run, _BOUND)
@@ -167,7 +178,7 @@ def bigrams(bound: DataFrame, size: int, end: int, fan: int = 256) -> np.ndarray
     def run(batches):
         table = np.zeros(size * size, np.int64)
         for batch in batches:
-            for held, first, local, sym in zip(_column(batch, "held", bool), _column(batch, "first", np.int64), _column(batch, "local", np.int32), _column(batch, "syms", np.int16), strict=True):
+            for held, first, local, sym in zip(_column(batch, "held", bool), _column(batch, "first", np.int64), _squeezed(batch, "local", np.int32), _column(batch, "syms", np.int16), strict=True):
                 s = sym[local].astype(np.int64)
                 before = np.r_[end, s[:-1]]  # each document ends with the end mark
                 learn = np.repeat(~held, np.diff(first))
@@ -267,7 +278,7 @@ def contexts(bound: DataFrame, cls: np.ndarray, shards: int, n_top: int, flush:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for block, held_out, first, local, sym, uniq in zip(batch.column("block").to_pylist(), _column(batch, "held", bool), _column(batch, "first", np.int64), _column(batch, "local", np.int32), _column(batch, "syms", np.int16), _column(batch, "uniq", np.uint64), strict=True):
+            for block, held_out, first, local, sym, uniq in zip(batch.column("block").to_pylist(), _column(batch, "held", bool), _column(batch, "first", np.int64), _squeezed(batch, "local", np.int32), _column(batch, "syms", np.int16), _column(batch, "uniq", np.uint64), strict=True):
                 place = np.full(len(sym), -1)
                 place[np.flatnonzero(spread(sym, n_top))] = np.arange(len(uniq))
                 token = cls[sym][local]
@@ -423,7 +434,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for batch in batches:
-            for ids, held, first, local, counts, sym in zip(_column(batch, "ids", np.int64), _column(batch, "held", bool), _column(batch, "first", np.int64), _column(batch, "local", np.int32), _column(batch, "counts", np.int64), _column(batch, "syms", np.int16), strict=True):
+            for ids, held, first, local, counts, sym in zip(_column(batch, "ids", np.int64), _column(batch, "held", bool), _column(batch, "first", np.int64), _squeezed(batch, "local", np.int32), _squeezed(batch, "counts", np.int64), _column(batch, "syms", np.int16), strict=True):
                 base = np.log10((counts + 0.1) / (n_train + 0.1 * (n_words + 1)))
                 emit = emissions(sym, counts, in_class[sym], unknown, alone, rare, end)
                 tokens = sym[local]
