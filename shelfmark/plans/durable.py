@@ -63,9 +63,26 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def stored(df: DataFrame) -> bool:
+    """Whether the table that ``durable`` wrote for the frame is still there."""
+    hadoop, fs = _at(df.sparkSession, df._shelfmark_path)
+    return fs.exists(hadoop)
+
+
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of each file of a table: another tuple once the table is written anew."""
+    hadoop, fs = _at(spark, path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(hadoop)))
+
+
+def _at(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop, fs = _at(spark, path)
+    fs.delete(hadoop, True)
 
 
 @atexit.register

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import catalog as cat
 from .operators import evaluate, group, judge, retrieve, spell, stats
+from .plans.durable import files_of, stored
 from .sources import demo
 
 #: (qid, q, filter key, filter value, lim)
@@ -33,8 +35,18 @@ def part_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BUILT: dict[str, tuple[SparkSession, tuple, cat.Catalog]] = {}
+
+
 def part_catalog(spark: SparkSession, sf_dir: str) -> cat.Catalog:
-    return cat.build(part_source(spark, sf_dir))
+    """The catalog of ``part``: built by the first query of a session that asks for it, and anew once the files of
+    ``part`` differ or a stored table is gone."""
+    files = files_of(spark, f"{sf_dir}/part.parquet")
+    session, seen, built = _BUILT.get(sf_dir, (None, (), None))
+    if session is not spark or seen != files or not all(stored(getattr(built, f.name)) for f in fields(built)):
+        built = cat.build(part_source(spark, sf_dir))
+        _BUILT[sf_dir] = spark, files, built
+    return built
 
 
 def batch(spark: SparkSession, rows=BATCH) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from shelfmark import queries
 from shelfmark.functions.stem import stem
 from shelfmark.operators import catalog, group, judge, retrieve, spell
 
@@ -191,3 +192,21 @@ def test_no_local_folder_off_a_local_master():
 
     with pytest.raises(ValueError):
         durable.shared_dir(Far)
+
+
+def test_catalog_is_built_once_and_anew_when_it_must(spark, tmp_path):
+    from shelfmark.plans.durable import discard
+
+    def write(names):
+        rows = [(i, n, "Brand#1", "T", 1, 1.0) for i, n in enumerate(names)]
+        spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+
+    write(["red widget", "blue bolt"])
+    first = queries.part_catalog(spark, str(tmp_path))
+    assert queries.part_catalog(spark, str(tmp_path)) is first
+    discard(first.words)
+    second = queries.part_catalog(spark, str(tmp_path))
+    assert second is not first and second.words.where("word = 'bolt'").count() == 1
+    write(["red widget", "green gear"])
+    third = queries.part_catalog(spark, str(tmp_path))
+    assert {r.word for r in third.words.collect()} >= {"green", "gear"} and third.words.where("word = 'bolt'").isEmpty()
