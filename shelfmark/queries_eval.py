@@ -510,7 +510,7 @@ def latency(spark, sf_dir):
     return evaluate.latency(records(spark, sf_dir), ["run"])
 
 
-@registered(f"SELECT set, round(avg(tokens) * 0.042 / 1e6, 9) AS per_search, round(count(*) * 0.5 + sum(n_results) * 0.25, 6) AS hosted FROM {_rec()} GROUP BY 1")
+@registered(f"SELECT set, round(avg(tokens) * 0.042 / 1e6, 9) AS per_search, round(CAST(count(*) * 0.5 + sum(n_results) * 0.25 AS DOUBLE), 6) AS hosted FROM {_rec()} GROUP BY 1")
 def costs(spark, sf_dir):
     g = records(spark, sf_dir).groupBy("set").agg(F.avg("tokens").alias("t"), F.count("*").alias("n"), F.sum("n_results").alias("r"))
     return g.select("set", F.round(stats.token_cost(F.col("t"), 0.042), 9).alias("per_search"), F.round(stats.host_cost(F.col("n"), F.col("r"), 0.5, 0.25), 6).alias("hosted"))
