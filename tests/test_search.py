@@ -5,6 +5,7 @@ import pytest
 from shelfmark import queries
 from shelfmark.functions.stem import stem
 from shelfmark.operators import catalog, group, judge, retrieve, spell
+from shelfmark.plans.durable import checkpointed
 
 ROWS = [
     ("1", "Lunaro Flakes", "Northmill", "lunaro", "00023000111222", "Cereal", 80.0), ("2", "Maple Lunaro Flakes", "Northmill", "lunaro", "00023000111333", "Cereal", 40.0), ("3", "Lunaro", "Northmill", "lunaro", "0023000999000", "Cereal", 5.0),
@@ -210,3 +211,30 @@ def test_catalog_is_built_once_and_anew_when_it_must(spark, tmp_path):
     write(["red widget", "green gear"])
     third = queries.part_catalog(spark, str(tmp_path))
     assert {r.word for r in third.words.collect()} >= {"green", "gear"} and third.words.where("word = 'bolt'").isEmpty()
+
+
+def sent(df):
+    """The tables in files that the plan of a frame would gather and broadcast."""
+    out, at = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        at = None if at is not None and depth <= at else at
+        if at is None and "BroadcastExchange" in line:
+            at = depth
+        if at is not None and "FileScan" in line:
+            out.append(line.strip())
+    return out
+
+
+@pytest.mark.parametrize("step", retrieve.STEPS)
+def test_no_step_broadcasts_the_catalog(spark, cat, step):
+    """Spark takes compressed tables for small ones; a catalog of 1.2 million rows, gathered by prefix, fills the driver."""
+    q = retrieve.parse(ask(spark, "lunaro", "0023000", "blackb"))
+    assert sent(getattr(retrieve, f"{step}_step")(q, cat)) == []
+
+
+def test_no_list_broadcasts_the_catalog(spark, cat, monkeypatch):
+    hits = checkpointed(spark.createDataFrame([(0, "1", "word", 1)], "qid long, id string, step string, pos int"))
+    monkeypatch.setattr(group, "search", lambda catalog, queries: hits)
+    q = ask(spark, "lunaro")
+    assert [sent(f(cat, q)) for f in (group.query_distinct, group.suggest, group.facets)] == [[], [], []]
