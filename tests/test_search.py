@@ -1,10 +1,14 @@
 """Golden behaviour on a small catalog of our own."""
 
+import math
+from fractions import Fraction
+
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark import queries
 from shelfmark.functions.stem import stem
-from shelfmark.operators import catalog, group, judge, retrieve, spell
+from shelfmark.operators import catalog, group, judge, retrieve, spell, stats
 from shelfmark.plans.durable import checkpointed
 
 ROWS = [
@@ -238,3 +242,15 @@ def test_no_list_broadcasts_the_catalog(spark, cat, monkeypatch):
     monkeypatch.setattr(group, "search", lambda catalog, queries: hits)
     q = ask(spark, "lunaro")
     assert [sent(f(cat, q)) for f in (group.query_distinct, group.suggest, group.facets)] == [[], [], []]
+
+
+def test_mcnemar_of_large_counts(spark):
+    def exact(b, c):
+        return min(1.0, float(Fraction(2 * sum(math.comb(b + c, k) for k in range(min(b, c) + 1)), 2 ** (b + c)))) if b + c else 1.0
+
+    cases = [(0, 0), (0, 1), (0, 40), (1, 9), (5, 5), (14, 31), (31, 33), (40, 90), (900, 1000), (2000, 1800), (500, 3500)]
+    large = (2_000_000_000, 2_000_100_000)  # by the normal distribution, which is exact to 8 digits there
+    df = spark.createDataFrame([*cases, large], "b long, c long")
+    got = {(r.b, r.c): r.p for r in df.select("b", "c", stats.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()}
+    assert all(got[k] == pytest.approx(exact(*k), rel=1e-11, abs=1e-300) for k in cases)
+    assert got[large] == pytest.approx(math.erfc((100_000 - 1) / math.sqrt(2 * sum(large))), rel=1e-7)
