@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import queries
 from shelfmark.functions.stem import stem
-from shelfmark.operators import catalog, group, judge, retrieve, spell, stats
+from shelfmark.operators import catalog, evaluate, group, judge, retrieve, spell, stats
 from shelfmark.plans.durable import checkpointed
 
 ROWS = [
@@ -254,3 +254,22 @@ def test_mcnemar_of_large_counts(spark):
     got = {(r.b, r.c): r.p for r in df.select("b", "c", stats.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()}
     assert all(got[k] == pytest.approx(exact(*k), rel=1e-11, abs=1e-300) for k in cases)
     assert got[large] == pytest.approx(math.erfc((100_000 - 1) / math.sqrt(2 * sum(large))), rel=1e-7)
+
+
+def ran(df):
+    """The plan that ran, once Spark had seen the sizes of its exchanges."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_results_are_never_broadcast(spark, cat):
+    """They hold every match of a query without a limit, and are small only as compressed."""
+    assert "BroadcastHashJoin" not in ran(retrieve.search(cat, ask(spark, "lunaro", "goat")))
+
+
+@pytest.mark.parametrize(("step", "most"), [("word", 9), ("prefix", 11), ("typo", 10)])
+def test_steps_leave_short_plans(spark, cat, step, most):
+    """The driver plans a plan anew after each of its exchanges; what is small is stored before the next part is planned."""
+    q = checkpointed(retrieve.parse(ask(spark, "lunaro", "the blackb", "llunaro")))
+    plan = getattr(retrieve, f"{step}_step")(q, cat)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= most
