@@ -267,6 +267,14 @@ def test_results_are_never_broadcast(spark, cat):
     assert "BroadcastHashJoin" not in ran(retrieve.search(cat, ask(spark, "lunaro", "goat")))
 
 
+def test_hits_read_no_results_behind_the_last_place(spark):
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "qid long")
+    rows = spark.createDataFrame([(1, 3, True), (1, 4, True), (2, 11, True), (2, 12, False)], "qid long, pos int, relevant boolean")
+    got = evaluate.hit_at_k(cases, rows)
+    assert sorted((r.qid, r.hit1, r.hit3, r.hit10) for r in got.collect()) == [(1, False, True, True), (2, False, False, False), (3, False, False, False)]
+    assert "pos#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "<= 10)" in plan.split("Join", 1)[1]
+
+
 @pytest.mark.parametrize(("step", "most"), [("word", 9), ("prefix", 11), ("typo", 10)])
 def test_steps_leave_short_plans(spark, cat, step, most):
     """The driver plans a plan anew after each of its exchanges; what is small is stored before the next part is planned."""
