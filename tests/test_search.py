@@ -281,3 +281,9 @@ def test_steps_leave_short_plans(spark, cat, step, most):
     q = checkpointed(retrieve.parse(ask(spark, "lunaro", "the blackb", "llunaro")))
     plan = getattr(retrieve, f"{step}_step")(q, cat)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= most
+
+
+def test_lists_are_stored_once(spark, cat):
+    """A list of at most 1,000 rows a query is used several times; its plan is not run again for each."""
+    plans = [f(cat, ask(spark, "goat"))._jdf.queryExecution().optimizedPlan().toString() for f in (group.query_distinct, group.facets)]
+    assert "Join" not in plans[0] and "Join" not in plans[1]
