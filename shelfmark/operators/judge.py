@@ -101,7 +101,8 @@ def keep_or_sink(page: DataFrame, scores: DataFrame, top: int = 10, threshold: f
 
 def search_page(catalog: Catalog, queries: DataFrame, scorer: Scorer | None = None, spell_scorer: Scorer | None = None, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
     """The ranked page of each query, and its spelling suggestion (only for queries without filters)."""
-    found = query_distinct(catalog, queries).join(catalog.documents.drop("words", "stems", "code", "rank", "other_key"), "id").join(queries.select("qid", F.col("q").alias("query")), "qid")
+    rows = query_distinct(catalog, queries).join(catalog.documents.drop("words", "stems", "code", "rank", "other_key"), "id")
+    found = checkpointed(rows.join(queries.select("qid", F.col("q").alias("query")), "qid"))
     request = found.where("pos <= 10").select("qid", (F.col("pos") - 1).alias("idx"), "query", F.concat_ws(" ", "name", "other_names").alias("text"))
     none = request.select("qid", "idx", F.lit(None).cast("double").alias("score"))
     scores = failing_open(lambda: scorer(request), none) if scorer else none.limit(0)
