@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfmark import queries
 from shelfmark.functions.stem import stem
 from shelfmark.operators import catalog, evaluate, group, judge, retrieve, spell, stats
-from shelfmark.plans.durable import checkpointed
+from shelfmark.plans.durable import checkpointed, trim_native
 
 ROWS = [
     ("1", "Lunaro Flakes", "Northmill", "lunaro", "00023000111222", "Cereal", 80.0), ("2", "Maple Lunaro Flakes", "Northmill", "lunaro", "00023000111333", "Cereal", 40.0), ("3", "Lunaro", "Northmill", "lunaro", "0023000999000", "Cereal", 5.0),
@@ -287,3 +287,15 @@ def test_lists_are_stored_once(spark, cat):
     """A list of at most 1,000 rows a query is used several times; its plan is not run again for each."""
     plans = [f(cat, ask(spark, "goat"))._jdf.queryExecution().optimizedPlan().toString() for f in (group.query_distinct, group.facets)]
     assert "Join" not in plans[0] and "Join" not in plans[1]
+
+
+def test_freed_native_memory_goes_back_to_the_system(spark):
+    """The compiler's and threads' freed memory stays with the driver else; ``release`` leaves errors out, so ask for it here."""
+    assert trim_native(spark)
+
+
+def test_a_built_catalog_leaves_no_garbage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog, "release", seen.append)
+    catalog.build(queries.part_source(spark, "/root/testdata/sf0.001"))
+    assert len(seen) == 1
