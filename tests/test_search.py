@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark import queries
+from shelfmark import queries, queries_eval
 from shelfmark.functions.stem import stem
 from shelfmark.operators import catalog, evaluate, group, judge, retrieve, spell, stats
 from shelfmark.plans.durable import checkpointed, trim_native
@@ -299,3 +299,22 @@ def test_a_built_catalog_leaves_no_garbage(spark, monkeypatch):
     monkeypatch.setattr(catalog, "release", seen.append)
     catalog.build(queries.part_source(spark, "/root/testdata/sf0.001"))
     assert len(seen) == 1
+
+
+def test_search_and_its_groups_come_from_one_search(spark, cat, monkeypatch):
+    rows = [(0, "lunaro", None, 2), (1, "goat", None, None), (2, "lunaro", None, 0), (3, "blackb", None, 5000), (4, "the", None, 3)]
+    q = spark.createDataFrame(rows, "qid long, q string, filters map<string,string>, lim int")
+    want = [sorted(map(tuple, f(cat, q).collect())) for f in (retrieve.search, group.query_distinct)]
+    asked = []
+    monkeypatch.setattr(group, "search", lambda *a: asked.append(a) or retrieve.search(*a))
+    got = group.search_and_distinct(cat, q)
+    assert [sorted(map(tuple, x.select("qid", "id", "step", "pos").collect())) for x in got] == want and len(asked) == 1
+
+
+@pytest.mark.parametrize("name", ["overlap"])
+def test_overlaps_search_once(spark, monkeypatch, name):
+    asked = []
+    monkeypatch.setattr(group, "search", lambda *a: asked.append(a) or retrieve.search(*a))
+    monkeypatch.setattr(retrieve, "search", lambda *a, f=retrieve.search: asked.append(a) or f(*a))
+    queries_eval.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len({id(a[1]) for a in asked}) == 1
