@@ -311,7 +311,7 @@ def test_search_and_its_groups_come_from_one_search(spark, cat, monkeypatch):
     assert [sorted(map(tuple, x.select("qid", "id", "step", "pos").collect())) for x in got] == want and len(asked) == 1
 
 
-@pytest.mark.parametrize("name", ["overlap"])
+@pytest.mark.parametrize("name", ["overlap", "mean_overlap"])
 def test_overlaps_search_once(spark, monkeypatch, name):
     asked = []
     monkeypatch.setattr(group, "search", lambda *a: asked.append(a) or retrieve.search(*a))
