@@ -318,3 +318,10 @@ def test_overlaps_search_once(spark, monkeypatch, name):
     monkeypatch.setattr(retrieve, "search", lambda *a, f=retrieve.search: asked.append(a) or f(*a))
     queries_eval.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len({id(a[1]) for a in asked}) == 1
+
+
+def test_names_are_ranked_once(spark, cat, monkeypatch):
+    stored = []
+    monkeypatch.setattr(group, "checkpointed", lambda df: stored.append(df) or checkpointed(df))
+    group.suggest(cat, ask(spark, "goat", "bla"))
+    assert stored[0]._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
