@@ -325,3 +325,9 @@ def test_names_are_ranked_once(spark, cat, monkeypatch):
     monkeypatch.setattr(group, "checkpointed", lambda df: stored.append(df) or checkpointed(df))
     group.suggest(cat, ask(spark, "goat", "bla"))
     assert stored[0]._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_filled_suggestions_are_stored_before_their_names_are_looked_up(spark, cat):
+    got = group.suggest(cat, ask(spark, "luna flakes", "flakes"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+    assert [(r.qid, r.pos, r.name) for r in got.orderBy("qid", "pos").collect()][-2:] == [(1, 1, "Lunaro Flakes"), (1, 2, "Maple Lunaro Flakes")]
