@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfmark import queries, queries_eval
 from shelfmark.functions.stem import stem
 from shelfmark.operators import catalog, evaluate, group, judge, retrieve, spell, stats
-from shelfmark.plans.durable import checkpointed, trim_native
+from shelfmark.plans.durable import checkpointed, release, trim_native, vm_option
 
 ROWS = [
     ("1", "Lunaro Flakes", "Northmill", "lunaro", "00023000111222", "Cereal", 80.0), ("2", "Maple Lunaro Flakes", "Northmill", "lunaro", "00023000111333", "Cereal", 40.0), ("3", "Lunaro", "Northmill", "lunaro", "0023000999000", "Cereal", 5.0),
@@ -294,6 +294,24 @@ def test_freed_native_memory_goes_back_to_the_system(spark):
     assert trim_native(spark)
 
 
+def test_the_heap_shrinks_to_what_is_left_in_it(spark):
+    """Of itself the JVM keeps up to 70 % of its heap free after a collection; its setting stays as it was."""
+    heap, was = spark.sparkContext._jvm.Runtime.getRuntime(), vm_option(spark, "MaxHeapFreeRatio")
+    room = spark.sparkContext._jvm.java.lang.StringBuilder()
+    room.ensureCapacity(300 << 20)
+    room.trimToSize()
+    release(spark)
+    assert heap.freeMemory() <= 0.5 * heap.totalMemory() and vm_option(spark, "MaxHeapFreeRatio") == was
+
+
+def test_a_search_begins_without_garbage(spark, cat, monkeypatch):
+    seen = []
+    monkeypatch.setattr(retrieve, "release", lambda *a: seen.append("release"))
+    monkeypatch.setattr(retrieve, "code_step", lambda *a, f=retrieve.code_step: seen.append("step") or f(*a))
+    retrieve.search(cat, ask(spark, "goat"))
+    assert seen[:2] == ["release", "step"]
+
+
 def test_a_built_catalog_leaves_no_garbage(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(catalog, "release", seen.append)
